@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, embedding_dedup, exact_dedup, mixing, packing, pii, sharding, simhash, toxicity
+from granary.llm import bpe, embedding_dedup, exact_dedup, language_model, mixing, packing, pii, sharding, simhash, toxicity
 from granary.session import table
 
 
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -52,4 +56,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_embedding_dedup, op3_bpe, op4_exact_dedup, op5_mixing, op6_packing, op7_toxicity, op9_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_embedding_dedup, op3_bpe, op4_exact_dedup, op5_mixing, op6_packing, op7_toxicity, op8_language_model, op9_sharding, op10_pii)}

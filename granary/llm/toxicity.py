@@ -20,6 +20,7 @@ repeated rows are scored each for itself; further columns are ignored or, in
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -61,6 +62,7 @@ class Model:
 
     def __init__(self, embeddings, weights, intercepts, prior: float):
         self.embeddings, self.weights, self.intercepts, self.prior = embeddings, weights, intercepts, prior
+        self.key = uuid.uuid4().hex  # names it in the workers' caches
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -179,10 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score_texts(model, texts: pa.Array) -> list[float]:
-    scorer = _SCORERS.get(id(model))
-    if scorer is None:
+    key = model.value.key
+    if key not in _SCORERS:
         _SCORERS.clear()
-        scorer = _SCORERS[id(model)] = model.value.scorer()
+        _SCORERS[key] = model.value.scorer()
+    scorer = _SCORERS[key]
     return [scorer.score(t.as_py() or "") for t in texts]
 
 
