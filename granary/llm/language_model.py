@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from granary.llm.toxicity import remainder
 from granary.session import pinned
 
-HEAVY = 1 << 19
+HEAVY = 1 << 20
 SINGLES = 20
 CLUSTERS = 28
 CLASSES = SINGLES + CLUSTERS
@@ -50,11 +50,12 @@ UPDATES = 3
 STEP = 0.4
 PRIOR = 60.0  # counts that hold a feature to the rates of all tokens
 CHUNK = 8192
+MEMO = 300_000
 END = b""  # the end of a text; no word is empty
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
 def suffix(word: bytes) -> int:
@@ -146,7 +147,10 @@ class _Numbers(dict):
         self.known = len(words)
 
     def __missing__(self, word: bytes) -> int:
-        return self.known + suffix(word)
+        number = self.known + suffix(word)
+        if len(self) < self.known + MEMO and len(word) <= 40:
+            self[word] = number
+        return number
 
 
 _NUMBERS: dict = {}
@@ -165,28 +169,34 @@ def events(texts: list[list[bytes]], numbers: _Numbers, class_of: np.ndarray) ->
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     end = numbers[END]
-    flat = np.empty(starts[-1], np.int64)
+    flat = np.empty(starts[-1], np.int32)
     for text, a, b in zip(texts, starts, starts[1:], strict=False):
-        flat[a : b - 1] = np.fromiter(map(numbers.__getitem__, text), np.int64, len(text))
+        flat[a : b - 1] = np.fromiter(map(numbers.__getitem__, text), np.int32, len(text))
         flat[b - 1] = end
-    place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)  # within its text
-    back = [np.where(place >= k, flat[np.maximum(np.arange(len(flat)) - k, 0)], end) for k in (1, 2, 3, 4)]
-    near, far = (class_of[back[k]].astype(np.int64) * CLASSES + class_of[back[k + 1]] for k in (0, 2))
-    mix = lambda x, by: ((x + 1) * np.int64(by) >> 17) & (BUCKETS - 1)
+    place = np.arange(len(flat), dtype=np.int32) - np.repeat(starts[:-1].astype(np.int32), sizes)  # within its text
+    back = []
+    for k in (1, 2, 3, 4):
+        own = np.full_like(flat, end)
+        own[k:] = flat[:-k]
+        own[place < k] = end
+        back.append(own)
+    near, far = (class_of[back[k]].astype(np.int32) * CLASSES + class_of[back[k + 1]] for k in (0, 2))
+    mix = lambda x, by: ((x.astype(np.int64) + 1) * np.int64(by) >> 17) & (BUCKETS - 1)
     keys = zip((back[0], back[1], near, far), (0x9E3779B97F4A7C, 0x5851F42D4C957F, 0x14057B7EF76781, 0x2545F4914F6CDD), strict=True)
-    return flat, np.stack([mix(x, by) for x, by in keys]), starts
+    return flat, np.stack([mix(x, by).astype(np.int16) for x, by in keys]), starts
 
 
-def class_law(model: Model, features: np.ndarray) -> np.ndarray:
-    """P(class | features), a row for each event."""
-    logits = model.weights[features[0]]
+def class_odds(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unscaled P(class | features), a row for each event, and the rows' sums.
+
+    Four weights within 6 of 0 and the intercepts keep these within a float's range.
+    """
+    odds = model.weights[features[0]]
     for own in features[1:]:
-        logits += model.weights[own]
-    logits += model.intercepts
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+        odds += model.weights[own]
+    odds += model.intercepts
+    np.exp(odds, out=odds)
+    return odds, odds @ np.ones(CLASSES, np.float32)
 
 
 def update(docs: DataFrame, shared, weights, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,19 +207,20 @@ def update(docs: DataFrame, shared, weights, parts: int) -> tuple[np.ndarray, np
         model.weights = weights.value
         met, due = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, CLASSES), np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                flat, features, _ = events([words_of(t.as_py()) for t in batch.column(0).slice(at, 100)], numbers, model.classes)
+            for at in range(0, batch.num_rows, 300):
+                flat, features, _ = events([words_of(t.as_py()) for t in batch.column(0).slice(at, 300)], numbers, model.classes)
                 classes = model.classes[flat].astype(np.int64)
+                for own in features:
+                    met += np.bincount(own.astype(np.int64) * CLASSES + classes, minlength=BUCKETS * CLASSES).reshape(met.shape)
                 for a in range(0, len(flat), CHUNK):
-                    f, c = features[:, a : a + CHUNK], classes[a : a + CHUNK]
-                    law = class_law(model, f)
+                    f = features[:, a : a + CHUNK]
+                    law, sums = class_odds(model, f)
+                    law /= sums[:, None]
                     for own in f:
-                        order = np.argsort(own, kind="stable")
+                        order = np.argsort(own, kind="stable")  # by counting, the features being short integers
                         ranked = own[order]
                         edges = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
                         due[ranked[edges]] += np.add.reduceat(law[order], edges)
-                        pairs, n = np.unique(own * CLASSES + c, return_counts=True)
-                        met.ravel()[pairs] += n
         seen = np.flatnonzero(met.any(axis=1))
         yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.int32()), "met": pa.array([r.tobytes() for r in met[seen]], pa.binary()), "due": pa.array([r.tobytes() for r in due[seen]], pa.binary())})
 
@@ -235,7 +246,7 @@ def update(docs: DataFrame, shared, weights, parts: int) -> tuple[np.ndarray, np
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, 5) == 1).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, 5) == 1).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
 def train(docs: DataFrame, heavy: int = HEAVY) -> tuple[Model, DataFrame]:
@@ -297,8 +308,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
                 gain = np.empty(len(flat))
                 classes = model.classes[flat].astype(np.int64)
                 for a in range(0, len(flat), CHUNK):
-                    law = class_law(model, features[:, a : a + CHUNK])
-                    gain[a : a + CHUNK] = np.log10(np.maximum(law[np.arange(len(law)), classes[a : a + CHUNK]], 1e-30))
+                    odds, sums = class_odds(model, features[:, a : a + CHUNK])
+                    gain[a : a + CHUNK] = np.log10(np.maximum(odds[np.arange(len(odds)), classes[a : a + CHUNK]] / sums, 1e-30))
                 gain -= share[flat]
                 seldom, times = [], []
                 for text, a, b in zip(texts, starts, starts[1:], strict=False):
