@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding with a transducer lexicon of frequent words.
 
-The corpus's most frequent space-separated pieces are counted over all rows,
-their words encoded once and compiled into a :mod:`granary.llm.lexicon` image,
-which is broadcast (its size is bounded by ``lexicon_words``) and memory-mapped
-by each worker. Words outside it are merged exactly. A bounded memo keeps the
+The corpus's space-separated pieces are counted over all rows. Those that make
+up at least ``1 / lexicon_words`` of them, of which there can be no more than
+``lexicon_words``, have their words encoded once and compiled into a
+:mod:`granary.llm.lexicon` image, which is broadcast and memory-mapped by each
+worker. Words outside it are merged exactly. A bounded memo keeps the
 ids of recent pieces.
 
 Defined results: a null text is an empty text, with no tokens; repeated rows
-are encoded each for itself; further columns are ignored or, in
-:func:`keep_round_trips`, kept.
+are encoded each for itself; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.lexicon import Lexicon, compile_image
+from granary.session import pinned
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEXICON_WORDS = 100_000
+LEXICON_WORDS = 1 << 19
 LONGEST_LEXICON_PIECE = 64
 MEMO = 400_000
 SHIFT, LOW, NEVER = 20, (1 << 20) - 1, 1 << 60
@@ -180,8 +182,9 @@ def codec(path: str, image: bytes) -> Codec:
 def lexicon_image(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> bytes:
     """Compile the words of the corpus's most frequent pieces, counted over all rows."""
     pieces = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("piece")).where(F.length("piece").between(1, LONGEST_LEXICON_PIECE))
-    counts = pieces.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1")
-    frequent = counts.orderBy(F.desc("n"), "piece").limit(lexicon_words).collect()  # bounded by the parameter
+    counts = pinned(pieces.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"))
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where(F.col("n") * lexicon_words >= every).collect()  # no more than `lexicon_words` can have that share
     vocabulary, find = Vocabulary(vocabulary_path), regex.compile(PATTERN).findall
     words = {w.encode() for row in frequent for w in find(" " + row["piece"])}
     return compile_image((w, tuple(merge_word(w, vocabulary))) for w in words)
