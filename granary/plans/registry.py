@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from granary.plans.catalog import ORACLES, QUERIES
+
 FLAGSHIP = "eval_by_source"
-QUERIES: dict = {}
-ORACLES: dict = {}
+for _name in ("batch_queries", "group_queries", "token_queries", "text_queries", "evaluation_queries"):
+    import_module(f"granary.plans.{_name}")
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
