@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The formats in which answers are given, as patterns.
@@ -22,33 +22,39 @@ def plain(text: Column) -> Column:
 
 
 def _parsed(json: Column) -> Column:
-    """The answer of a JSON object as an array of variants, a scalar wrapped; null if there is none."""
-    answer = F.try_variant_get(F.try_parse_json(json), "$.answer", "variant")
-    kind = F.schema_of_variant(answer)
-    wrapped = F.array(answer)
-    return F.when(kind.startswith("ARRAY"), F.try_variant_get(answer, "$", "array<variant>")).when(answer.isNotNull() & ~kind.startswith("VOID"), wrapped)
+    """The answer of a JSON object as a variant; null if there is none."""
+    return F.try_variant_get(F.try_parse_json(json), "$.answer", "variant")
 
 
-def _within(text: Column) -> Column:
+def _candidate(text: Column) -> Column:
     """Fenced JSON if there is any, valid or not; else the first bare object."""
     fenced = F.regexp_extract(text, FENCED, 1)
-    return F.when(fenced != "", _parsed(fenced)).otherwise(_parsed(F.nullif(F.regexp_extract(text, BARE, 1), F.lit(""))))
+    return F.when(fenced != "", fenced).otherwise(F.nullif(F.regexp_extract(text, BARE, 1), F.lit("")))
 
 
-def extract(text: Column) -> Column:
-    """The answer elements of the first answer block, else of the whole text."""
-    block = F.nullif(F.regexp_extract(text, BLOCK, 1), F.lit(""))
-    return F.coalesce(_within(block), _within(text))
+def with_answers(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the answer's normalised elements: of the first answer block, else of the whole text.
+
+    In steps, so that every pattern and parse runs once a row.
+    """
+    df = df.withColumn("_block", F.nullif(F.regexp_extract(text, BLOCK, 1), F.lit("")))
+    df = df.withColumn("_own", _parsed(_candidate(F.col("_block"))))
+    df = df.withColumn("_answer", F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(_parsed(_candidate(F.col(text)))))
+    df = df.withColumn("_kind", F.schema_of_variant("_answer"))
+    listed = F.when(F.col("_kind").startswith("ARRAY"), F.try_variant_get("_answer", "$", "array<variant>")).when(F.col("_answer").isNotNull() & ~F.col("_kind").startswith("VOID"), F.array("_answer"))
+    df = df.withColumn("_list", listed)
+    pairs = F.transform("_list", lambda v: F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
+    return df.withColumn("_pairs", pairs).withColumn(out, normalised(F.col("_pairs"))).drop("_block", "_own", "_answer", "_kind", "_list", "_pairs")
 
 
 def normalised(elements: Column) -> Column:
-    """array<struct<num, str>>: numbers and number-like strings as doubles, other strings plain.
+    """array<struct<num, str>> of elements (kind, text): numbers and number-like strings as doubles, other strings plain.
 
     Any other element empties the whole list; null stays null.
     """
 
-    def one(v: Column) -> Column:
-        kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    def one(e: Column) -> Column:
+        kind, text = e["kind"], e["text"]
         bare = F.regexp_replace(text, ",", "")
         number = F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double")).when((kind == "STRING") & text.rlike(NUMBER), bare.try_cast("double"))
         known = kind.rlike("^(BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)")

@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 CONSISTENCY, AVERAGE, MAXIMUM = 0.25, 0.2, 0.55  # fixed weights of the fusion
 
 
-def fusion_select(samples: DataFrame, row: str, pos: str, answer: str, logprob: str, entropy: str) -> DataFrame:
-    """For each row the sample to answer with: (row, pos, answer, fused).
+def fusion_select(samples: DataFrame, row: str, pos: str, answer: str, logprob: str, entropy: str, carry: list[str] | None = None) -> DataFrame:
+    """For each row the sample to answer with: (row, pos, answer, fused), and its columns to carry along.
 
-    Confidence is exp(logprob) * (1 - entropy); samples without one drop out. Per answer the
+    Null answers are none. Confidence is exp(logprob) * (1 - entropy); samples without one drop out. Per answer the
     count, mean and maximum of confidence are each divided by the row's largest and blended;
     the best answer gives its most confident sample, ties going to the earlier one.
     """
     conf = F.exp(logprob) * (1 - F.col(entropy))
     valid = samples.withColumn("_c", conf).where(F.col("_c").isNotNull() & ~F.isnan("_c"))
-    best = F.max_by(F.struct(pos), F.struct("_c", -F.col(pos)))
-    groups = valid.groupBy(row, answer).agg(F.count("*").alias("_n"), F.avg("_c").alias("_avg"), F.max("_c").alias("_max"), F.min(pos).alias("_first"), best.alias("_best"))
+    best = F.max_by(F.struct(pos, *carry or ()), F.struct("_c", -F.col(pos)))
+    # Samples without an answer go after the grouping: a filter before it would be pushed below, and evaluate, the extraction.
+    groups = valid.groupBy(row, answer).agg(F.count(answer).alias("_n"), F.avg("_c").alias("_avg"), F.max("_c").alias("_max"), F.min(pos).alias("_first"), best.alias("_best")).where("_n > 0")
     own = Window.partitionBy(row)
     share = lambda c: F.try_divide(F.col(c), F.max(c).over(own))
     fused = groups.withColumn("fused", CONSISTENCY * share("_n") + AVERAGE * share("_avg") + MAXIMUM * share("_max"))
     ranked = fused.withColumn("_r", F.row_number().over(own.orderBy(F.desc_nulls_last("fused"), "_first")))
-    return ranked.where("_r = 1").select(row, F.col(f"_best.{pos}").alias(pos), answer, "fused")
+    return ranked.where("_r = 1").select(row, "_best.*", answer, "fused")
 
 
 def majority(votes: DataFrame, group: list[str], pred: str, value: str, pos: str) -> DataFrame:

@@ -41,13 +41,15 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """(query_id, doc_id, score, rank) by BM25 over lower-cased words, each query word counted once."""
-    words = lambda df, key: df.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("term")).where("term != ''")
-    tf = words(docs, doc_id).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
-    lengths = tf.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs"))
+    split = lambda: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(split())).alias("term"))
+    sized = docs.select(doc_id, split().alias("_w")).withColumn("dl", F.size("_w")).where("dl > 0")
+    stats = docs.select(F.size(split()).alias("dl")).where("dl > 0").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs"))
+    # Only the words that are asked for are counted by document.
+    used = sized.select(doc_id, "dl", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = used.groupBy(doc_id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = words(queries, query_id).distinct().withColumnRenamed(query_id, "query_id").join(df, "term")
-    met = asked.join(tf, "term").join(lengths, doc_id).crossJoin(F.broadcast(stats))  # one row
+    met = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", doc_id).agg(F.round(F.sum(gain), 9).alias("score"))

@@ -55,7 +55,7 @@ def samples(spark, sf_dir):
 
 def keyed(spark, sf_dir):
     """``keys``: answers as text keys, numbers to two places; ``formed``: the format check."""
-    return samples(spark, sf_dir).withColumn("made", A.normalised(A.extract(C("text")))).withColumn("formed", A.well_formed(C("text")))
+    return A.with_answers(samples(spark, sf_dir), "text", "made").withColumn("formed", A.well_formed(C("text")))
 
 
 def _numbers(column):
@@ -98,8 +98,8 @@ FUSED = SCORED + """, c AS (SELECT *, exp(logprob) * (1 - entropy) AS conf, arra
 
 
 def chosen(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("keys is not null and size(keys) > 0").withColumn("answer", F.array_join("keys", "|"))
-    return evaluation.fusion_select(rows, "row_id", "pos", "answer", "logprob", "entropy")
+    rows = scored(spark, sf_dir).withColumn("answer", F.when(F.size("keys") > 0, F.array_join("keys", "|")))
+    return evaluation.fusion_select(rows, "row_id", "pos", "answer", "logprob", "entropy", ["data_source", "score"])
 
 
 @query(f"WITH {FUSED} SELECT row_id, pos, answer, round(fused, 6) AS fused FROM chosen")
@@ -110,8 +110,7 @@ def fusion_select(spark, sf_dir):
 @query(f"WITH {FUSED} SELECT data_source, round(avg(score), 6) AS score, count(*) AS n FROM chosen JOIN scored USING (row_id, pos) GROUP BY 1")
 def eval_by_source(spark, sf_dir):
     """The flagship: extract, score, choose an answer for each row, and report by source."""
-    best = chosen(spark, sf_dir).select("row_id", "pos").join(scored(spark, sf_dir).select("row_id", "pos", "data_source", "score"), ["row_id", "pos"])
-    return best.groupBy("data_source").agg(r6(F.avg("score"), "score"), F.count("*").alias("n"))
+    return chosen(spark, sf_dir).groupBy("data_source").agg(r6(F.avg("score"), "score"), F.count("*").alias("n"))
 
 
 WORK = "'so ' || o_totalprice::INT::VARCHAR || ' and' || CASE WHEN o_orderkey % 3 = 0 THEN ' #### ' || (o_orderkey * 1001)::VARCHAR ELSE ' it is ' || o_custkey::VARCHAR || '.' END || CASE WHEN o_orderkey % 2 = 0 THEN ' Answer: $b' ELSE '' END"
