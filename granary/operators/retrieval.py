@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.tokens import total
+from granary.session import pinned
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,13 +42,14 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """(query_id, doc_id, score, rank) by BM25 over lower-cased words, each query word counted once."""
-    split = lambda: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    split = lambda: F.array_remove(F.split(F.lower(text), r"\s+"), "")
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(split())).alias("term"))
-    sized = docs.select(doc_id, split().alias("_w")).withColumn("dl", F.size("_w")).where("dl > 0")
-    stats = docs.select(F.size(split()).alias("dl")).where("dl > 0").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs"))
+    sized = docs.select(doc_id, split().alias("_w")).withColumn("dl", F.size("_w"))
+    some = F.count_if(F.col("dl") > 0)  # no filter: it would split every text once more below the projection
+    stats = sized.agg((F.sum("dl") / some).alias("avgdl"), some.alias("docs"))
     # Only the words that are asked for are counted by document.
     used = sized.select(doc_id, "dl", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = used.groupBy(doc_id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tf = pinned(used.groupBy(doc_id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     met = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
