@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import answers as A
-from granary.operators import advantages, balance, batch, evaluation
+from granary.functions import math_text, preference, sequences
+from granary.operators import advantages, balance, batch, evaluation, scoring
 from granary.sources import files
 from granary.streaming import state
 
@@ -155,3 +156,36 @@ def test_blocklist_stream(spark, tmp_path):
     kept = {(r.batch, r.uid) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert kept == {(0, 2)}  # 1 persists and stays blocked although its later mean is low, 3 is above the upper bound
     assert {r.uid for r in spark.read.parquet(str(tmp_path / "blocked")).collect()} == {1}
+
+
+def test_mathematical_answers(spark):
+    boxes = {"a \\boxed{1} \\boxed{\\frac{a}{b^{2}}} z": "\\frac{a}{b^{2}}", "\\fbox{}": "", "\\boxed{open": None, "none": None, "\\boxed 5": None}
+    frame = spark.createDataFrame([(t,) for t in boxes], "t string")
+    assert {r.t: r.b for r in frame.select("t", math_text.boxed(F.col("t")).alias("b")).collect()} == boxes
+    pairs = [("0.5", "\\frac12", True), ("x=7", "7", True), ("\\sqrt3", "\\sqrt{3}", True), ("\\dfrac{1}{2}", "1/2", True), ("50\\%", "50", True), ("1,000", "1000", True), ("0.07", "7", True), ("8", "7", False), ("a", "b", False), (".5", "0.5", True)]
+    frame = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r.got == r.want for r in frame.select("want", math_text.equal(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_scorers(spark):
+    scorers = scoring.Scorers()
+    scorers.register("math", "aime*")(lambda a, t: (a == t).cast("double"))
+    rows = spark.createDataFrame([("math", "1", "1"), ("aime24", "2", "1")], "source string, a string, t string")
+    assert sorted(r.score for r in scoring.apply(rows, scorers, "source", "a", "t").collect()) == [0.0, 1.0]
+    given = rows.withColumn("rm_scores", F.lit(0.25))
+    assert {r.score for r in scoring.apply(given, scorers, "source", "a", "t").collect()} == {0.25}
+    with pytest.raises(Exception, match="no scorer"):
+        scoring.apply(rows.withColumn("source", F.lit("other")), scorers, "source", "a", "t").collect()
+    divide = scoring.guarded(lambda a, t: int(a) / (int(t) - 1))
+    assert {r[0] for r in rows.select(divide("a", "t")).collect()} == {0.0}
+    wide = scoring.expand(rows.withColumn("r", F.struct(F.lit(1.0).alias("score"), F.lit(2).alias("len"))), "r", ["score", "len"])
+    assert wide.columns == ["source", "a", "t", "score", "len"]
+
+
+def test_losses_are_stable_and_checked(spark):
+    frame = spark.createDataFrame([(-1000.0, 1000.0)], "a double, b double")
+    row = frame.select(preference.dpo_loss(F.col("a"), F.col("b"), 1.0), preference.dpo_loss(F.col("b"), F.col("a"), 1.0)).first()
+    assert row[0] == pytest.approx(2000) and row[1] == pytest.approx(0)
+    with pytest.raises(ValueError):
+        preference.dpo_loss(F.col("a"), F.col("b"), 1.0, "other")
+    assert sequences.kl_controller([0.2, 0.0], 100, 0.1, 1000, 1.0) == pytest.approx([1.02, 1.02 * 0.98])
