@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-PACK_MB = 16
+PACK_MB = 4
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -161,4 +161,4 @@ def pack(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, pad_id: int
             yield from finish(now, held)
 
     parts = max(1, min(packs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return coded.repartition(parts, "pack").sortWithinPartitions("pack").mapInArrow(run, PACKED)
+    return coded.repartitionById(parts, F.col("pack") % parts).sortWithinPartitions("pack").mapInArrow(run, PACKED)
