@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from granary.session import pinned
 
+FEW = 20_000
+
 
 def blocked(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
     """Add ``blk_a``, ``blk_b`` and ``side`` (0: in blk_a, 1: in blk_b), a row for each pair of blocks it takes part in."""
     large = pinned(rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > block))
-    if large.isEmpty():
+    found = large.count()
+    if not found:
         return rows.withColumns({"blk_a": F.lit(0), "blk_b": F.lit(0), "side": F.lit(0)})
-    split = rows.join(large, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("held") * 1.1 / block), F.lit(1)).cast("int"))
+    # A few keys go to all tasks; more than that meet the rows in a join that Spark can split where a key is hot.
+    split = rows.join(F.broadcast(large) if found <= FEW else large, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("held") * 1.1 / block), F.lit(1)).cast("int"))
     split = split.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), member), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return split.withColumns({"blk_a": F.least("own", "other"), "blk_b": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("held", "blocks", "own", "other")
