@@ -84,3 +84,31 @@ def dense_flops(tokens: Column, squares: Column, hidden: int, layers: int, heads
     head = head or hidden // heads
     weights = layers * (3 * hidden * inner + hidden * head * 2 * (heads + kv_heads)) + 2 * vocabulary * hidden
     return 6.0 * weights * tokens + 12.0 * layers * heads * head * squares
+
+
+def chat(messages: Column, lead: str | None = None) -> Column:
+    """Messages (role, content) as one text, a tagged line each; ``lead`` opens the next turn."""
+    lines = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<"), m["role"], F.lit(">"), m["content"], F.lit("\n"))), "")
+    return F.concat(lines, F.lit(f"<{lead}>")) if lead else lines
+
+
+def char_ids(text: Column) -> Column:
+    """Code points as token ids: the default tokenizer where none is plugged in."""
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), _code_point))
+
+
+def _code_point(character: Column) -> Column:
+    return F.conv(F.hex(F.encode(character, "UTF-32")), 16, 10).cast("int")
+
+
+def char_text(ids: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.decode(F.unhex(F.lpad(F.hex(i.cast("long")), 8, "0")), "UTF-32")), "")
+
+
+def unpadded(ids: Column, valid: Column, end: Column) -> Column:
+    """The first ``valid`` ids without the end mark."""
+    return F.array_remove(F.slice(ids, F.lit(1), valid), end)
+
+
+def cut_to(most: int, *names: str) -> list[Column]:
+    return [F.slice(name, 1, most).alias(name) for name in names]

@@ -84,9 +84,9 @@ def log_sample(spark, sf_dir):
     return selection.seeded_sample(table(spark, sf_dir, "events"), 5, "event_id", 42, "event_type").select("event_id", "event_type", "rank")
 
 
-@query(f"WITH {ROLLOUTS}, k AS (SELECT uid FROM rollouts GROUP BY 1 HAVING stddev_pop(score) > 12) SELECT uid, sample_id FROM rollouts SEMI JOIN k USING (uid)")
+@query(f"WITH {ROLLOUTS}, k AS (SELECT uid FROM rollouts GROUP BY 1 HAVING max(score) - min(score) > 30) SELECT uid, sample_id FROM rollouts SEMI JOIN k USING (uid)")
 def keep_groups(spark, sf_dir):
-    kept = rollouts(spark, sf_dir).groupBy("uid").agg(F.stddev_pop("score").alias("sd")).where("sd > 12")
+    kept = rollouts(spark, sf_dir).groupBy("uid").agg((F.max("score") - F.min("score")).alias("span")).where("span > 30")
     return rollouts(spark, sf_dir).join(kept, "uid", "left_semi").select("uid", "sample_id")
 
 
@@ -272,3 +272,54 @@ def retrieve_response(spark, sf_dir):
     """The three best documents of each query as one list of (document, score)."""
     rows = table(spark, sf_dir, "orders").select(C("o_custkey").alias("query_id"), C("o_orderkey").alias("document"), C("o_totalprice").alias("score"))
     return selection.top_lists(rows, 3, "query_id", "document", "score").select("query_id", C("result.document").alias("documents"), C("result.score").alias("scores"))
+
+
+CHATS = "WITH c AS (SELECT conv_id, string_agg('<' || role || '>' || text || chr(10), '' ORDER BY turn, role, text) || '<assistant>' AS prompt FROM conversations GROUP BY 1) "
+
+
+def chats(spark, sf_dir):
+    held = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    messages = F.transform(held, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return table(spark, sf_dir, "conversations").where("role is not null and text is not null").groupBy("conv_id").agg(messages.alias("m"))
+
+
+@query(CHATS.replace("FROM conversations", "FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL") + "SELECT conv_id, prompt, length(prompt)::INT AS n, unicode(prompt[1])::INT AS head FROM c")
+def chat_template(spark, sf_dir):
+    prompt = R.chat(C("m"), lead="assistant")
+    rows = chats(spark, sf_dir).select("conv_id", prompt.alias("prompt"))
+    return rows.select("conv_id", "prompt", F.size(R.char_ids(C("prompt"))).alias("n"), F.element_at(R.char_ids(C("prompt")), 1).alias("head"))
+
+
+@query("SELECT p_partkey, p_name AS answer, 5 + length(p_name) + 12 AS n FROM part")
+def retemplate(spark, sf_dir):
+    """A response's ids without padding and end mark, decoded and framed for another model."""
+    ids = F.concat(R.char_ids(C("p_name")), F.array(F.lit(3), F.lit(0), F.lit(0)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", R.char_text(R.unpadded(ids, F.length("p_name") + 1, F.lit(3))).alias("answer"))
+    return rows.select("p_partkey", "answer", F.size(R.char_ids(F.concat(F.lit("<ask>"), "answer", F.lit("\n<assistant>")))).alias("n"))
+
+
+@query("SELECT vec_id, list_transform(range(1, least(label, 5) + 1), lambda i: i::INT) AS ids, list_transform(range(1, least(label, 5) + 1), lambda i: (i > 2)::INT) AS mask, label > 5 AS cut FROM embeddings")
+def finalize_rollout(spark, sf_dir):
+    """Ids and masks cut to one limit; ``cut`` tells which lost tokens."""
+    ids = F.filter(F.sequence(F.lit(1), F.lit(20)), lambda i: i <= C("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"), F.transform(ids, lambda i: (i > 2).cast("int")).alias("mask"))
+    return rows.select("vec_id", *R.cut_to(5, "ids", "mask"), (F.size("ids") > 5).alias("cut"))
+
+
+@query("SELECT c_custkey, (c_custkey // ceil((SELECT count(*) FROM customer) / 7)::BIGINT)::INT AS chunk_id, c_custkey * 2 AS twice FROM customer")
+def dispatch_chunks(spark, sf_dir):
+    """A plug-in function over each of seven chunks of a batch."""
+    from granary.operators.dispatch import by_chunk
+
+    batch = table(spark, sf_dir, "customer").select(C("c_custkey").alias("row_id"), "c_custkey")
+    return by_chunk(batch, 7, lambda part: part.assign(twice=part["c_custkey"] * 2), "row_id long, c_custkey long, chunk_id int, twice long").drop("row_id")
+
+
+@query()
+def balanced_reorder(spark, sf_dir):
+    """Each batch's rows by partitions of near-equal tokens, one partition after another."""
+    from granary.operators import balance
+
+    rows = rollouts(spark, sf_dir).where("sample_id < 1").select(F.floor(C("uid") / 100).alias("batch"), C("uid").alias("item"), "length")
+    parts = balance.by_group(rows, "batch", "item", "length", lambda x: balance.differencing(x, next(k for k in (4, 3, 2, 1) if len(x) % k == 0), equal=True))
+    return parts.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("part", "pos")) - 1)
