@@ -9,7 +9,7 @@ small, and the number of tables follows from that so that a pair right at the
 threshold meets with probability ``recall``.
 
 A pair that meets in several tables counts in the first one only, told from the
-tables' keys that each row carries; so links are counted without a list of
+keys of the tables before that each row carries; so links are counted without a list of
 pairs, and only counts and spanning forests leave a task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
@@ -78,7 +78,7 @@ def prepare(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 
 
 def hashed(classes: DataFrame, projections: int, tables: int) -> DataFrame:
-    """A row per class and table: (place, key, cid, n, label, unit, keys)."""
+    """A row per class and table: (place, key, cid, n, label, unit, keys); ``keys`` are those of the tables before."""
     fields = [("place", pa.int32()), ("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("label", pa.string()), ("unit", pa.binary()), ("keys", pa.binary())]
     schema = pa.schema(fields)
 
@@ -103,13 +103,19 @@ def hashed(classes: DataFrame, projections: int, tables: int) -> DataFrame:
                     keys[rows] = (cells * mix).sum(axis=2, dtype=np.uint64) + np.uint64(size)
                 salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in label.to_pylist()], np.uint64)
                 keys ^= salt[:, None]
-                packed = pa.array([k.tobytes() for k in keys], pa.binary())
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), t), pa.int32()), pa.array(keys[:, t].view(np.int64), pa.int64()), cid, n, label, unit, packed], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), t), pa.int32()), pa.array(keys[:, t].view(np.int64), pa.int64()), cid, n, label, unit, _packed(keys[:, :t])], schema=schema)
 
     return classes.select("cid", "n", "label", "unit").mapInArrow(run, "place int, key long, cid long, n long, label string, unit binary, keys binary")
 
 
+def _packed(keys: np.ndarray) -> pa.Array:
+    """Each row's keys as one binary value."""
+    rows, width = keys.shape
+    offsets = np.arange(rows + 1, dtype=np.int32) * (8 * width)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+
+
 FOUND = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("parent", pa.int64())])
 
 
@@ -133,8 +139,11 @@ def compare(rows: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
         points = np.zeros((len(cid), longest))
         for row, u in enumerate(units):
             points[row, : size[row]] = np.frombuffer(u, "<f8")
-        tables = len(keys[0]) // 8
-        every = np.frombuffer(b"".join(keys), "<u8").reshape(len(cid), tables)
+        tables = int(place.max())
+        every = np.zeros((len(cid), tables), np.uint64)
+        for t in np.unique(place):
+            at = np.flatnonzero(place == t)
+            every[at, :t] = np.frombuffer(b"".join(keys[r] for r in at), "<u8").reshape(len(at), t)
         _, name = np.unique(np.array(label, object).astype(str), return_inverse=True)
         for whole_i, whole_j in near_pairs(bounds, side, 32):
             for at in range(0, len(whole_i), 1 << 15):
