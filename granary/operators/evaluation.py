@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,40 +60,48 @@ def sizes_below(n: int) -> list[int]:
     return [*out, n]
 
 
-def bootstrap(votes: DataFrame, source: str, prompt: str, value: str, pos: str, pred: str | None = None, rounds: int = 1000, most: int = 64) -> DataFrame:
+@lru_cache(maxsize=16)
+def _draws(n: int, size: int, rounds: int) -> np.ndarray:
+    return resamples(n, size, rounds).astype(np.int32)
+
+
+def _first_of_most(codes: np.ndarray) -> np.ndarray:
+    """In each row the place of the most frequent code, the earlier seen of equals."""
+    rounds, kinds = len(codes), int(codes.max()) + 1
+    tally = np.bincount((np.arange(rounds)[:, None] * kinds + codes).ravel(), minlength=rounds * kinds).reshape(rounds, kinds)
+    return np.take_along_axis(tally, codes, axis=1).argmax(axis=1)
+
+
+def bootstrap(votes: DataFrame, source: str, prompt: str, value: str, pos: str, pred: str | None = None, rounds: int = 1000) -> DataFrame:
     """(source, n, best, best_std, worst, worst_std[, maj, maj_std]) by resampling each prompt's values.
 
-    The resampled positions depend on (group size, n) alone; they are joined as an array of
-    rounds for each pair, from a table bounded by ``most`` (the largest group size resampled).
+    The resampled positions depend on (group size, n) alone. A task holds one prompt's values and
+    ``rounds`` resamples of them at a time; what leaves it is a row a prompt and n. Null values
+    take no part, prompts with fewer than two values have no resamples.
     """
-    spark = votes.sparkSession
-    shape = "struct<pos:int,value:double,pred:string>"
-    entry = F.struct(F.col(pos).cast("int").alias("pos"), F.col(value).cast("double").alias("value"), (F.col(pred) if pred else F.lit(None)).cast("string").alias("pred"))
-    groups = votes.groupBy(source, prompt).agg(F.array_sort(F.collect_list(entry)).cast(f"array<{shape}>").alias("rows")).withColumn("size", F.size("rows"))
-    found = [r[0] for r in groups.select("size").distinct().where(F.col("size").between(2, most)).collect()]  # at most `most` numbers
-    table = [(size, n, resamples(size, n, rounds).tolist()) for size in found for n in sizes_below(size)]
-    draws = spark.createDataFrame(table, "size int, n int, draws array<array<int>>")
-    met = groups.join(F.broadcast(draws), "size")  # bounded by `most` and `rounds`
-    drawn = F.transform("draws", lambda d: F.transform(d, lambda i: F.element_at("rows", i + 1)))
-    met = met.withColumn("drawn", drawn)
-    values = {"best": F.transform("drawn", lambda d: F.array_max(F.transform(d, lambda x: x["value"]))), "worst": F.transform("drawn", lambda d: F.array_min(F.transform(d, lambda x: x["value"])))}
-    if pred:
-
-        def vote(d):
-            names = F.transform(d, lambda x: x["pred"])
-            tally = F.transform(names, lambda p: F.size(F.filter(names, lambda q: q == p)))
-            return F.element_at(d, F.array_position(tally, F.array_max(tally)).cast("int"))["value"]
-
-        values["maj"] = F.transform("drawn", vote)
-    out = []
-    for name, array in values.items():
-        mean = F.aggregate(array, F.lit(0.0), lambda a, x: a + x) / rounds
-        met = met.withColumns({f"_{name}": mean, f"_{name}_v": array})
-        sd = _spread(name, rounds)
-        out += [F.avg(f"_{name}").alias(name), F.avg(sd).alias(f"{name}_std")]
-    return met.groupBy(source, "n").agg(*out)
-
-
-def _spread(name: str, rounds: int):
-    squares = F.aggregate(f"_{name}_v", F.lit(0.0), lambda a, x: a + x * x) / rounds
-    return F.sqrt(F.greatest(F.lit(0.0), squares - F.col(f"_{name}") * F.col(f"_{name}")))
+    names = ["best", "worst", *(["maj"] if pred else [])]
+    kind = dict(votes.dtypes)[source]
+    entry = F.struct(F.col(pos).alias("pos"), F.col(value).cast("double").alias("value"), (F.col(pred) if pred else F.lit(None)).cast("string").alias("pred"))
+    held = votes.where(F.col(value).isNotNull()).groupBy(source, prompt).agg(F.array_sort(F.collect_list(entry)).alias("rows")).where(F.size("rows") > 1)
+    columns = ["n", *(f"{name}{end}" for name in names for end in ("", "_std"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, found = [], []
+            for at, rows in enumerate(batch.column(1)):
+                values = rows.values.field("value").to_numpy()
+                codes = np.unique(np.array(rows.values.field("pred").to_pylist(), object).astype(str), return_inverse=True)[1]
+                for n in sizes_below(len(values)):
+                    draws = _draws(len(values), n, rounds)
+                    drawn = values[draws]
+                    taken = [drawn.max(axis=1), drawn.min(axis=1)]
+                    if pred:
+                        taken.append(drawn[np.arange(rounds), _first_of_most(codes[draws])])
+                    sources.append(at)
+                    found.append((n, *(x for t in taken for x in (t.mean(), t.std()))))
+            if found:
+                data = [pa.array(c, pa.float64() if k else pa.int32()) for k, c in enumerate(zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sources)), *data], [source, *columns])
+
+    each = held.select(source, "rows").mapInArrow(run, f"`{source}` {kind}, n int, " + ", ".join(f"{c} double" for c in columns[1:]))
+    return each.groupBy(source, "n").agg(*[F.avg(c).alias(c) for c in columns[1:]])
