@@ -24,16 +24,19 @@ def mean_pool(vectors: DataFrame, group: str, vector: str, size: int) -> DataFra
     return vectors.groupBy(group).agg(F.array(*means).alias(vector))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, block: int = 256) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, block: int = 256, most: int = 8_000_000) -> DataFrame:
     """(query_id, doc_id, score, rank): the k largest inner products, ties to the smaller id.
 
-    Queries are a stated set; they go out in blocks of ``block`` and each partition of the
-    corpus keeps its own k best before the blocks' winners meet.
+    Queries are a stated set, dealt into blocks of ``block``; each partition of the corpus keeps
+    its own k best before the blocks' winners meet. Queries of up to ``most`` numbers in all
+    (64 MB) are broadcast; beyond that blocks meet partitions as a product that holds one of each.
     """
     spread = corpus.select(F.col(doc_id), F.col(vector).cast("array<double>").alias("_d")).withColumn("_part", F.spark_partition_id())
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(1 << 20)).alias("_h"))
     blocks = asked.groupBy(F.floor(F.col("_h") / block).alias("_b")).agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
-    scored = spread.join(F.broadcast(blocks)).select(doc_id, "_part", "_d", F.explode("_qs").alias("_x")).select("_x.query_id", doc_id, "_part", dot(F.col("_x._q"), F.col("_d")).alias("score"))
+    numbers = asked.agg(F.sum(F.size("_q"))).first()[0] or 0
+    met = spread.join(F.broadcast(blocks)) if numbers <= most else spread.hint("shuffle_replicate_nl").join(blocks)
+    scored = met.select(doc_id, "_part", "_d", F.explode("_qs").alias("_x")).select("_x.query_id", doc_id, "_part", dot(F.col("_x._q"), F.col("_d")).alias("score"))
     order = [F.desc("score"), F.asc(doc_id)]
     near = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)

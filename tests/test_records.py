@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import grading as G
 from granary.functions import records as R
-from granary.operators import selection
+from granary.operators import retrieval, selection
 from granary.operators.dispatch import by_chunk, by_piece
 
 
@@ -115,3 +115,21 @@ def test_dispatch(spark):
     first = lambda part: pd.DataFrame({"low": [part.row_id.min()], "n": [len(part)]})
     assert sorted(tuple(r) for r in by_chunk(batch, 3, first, "low long, n long").collect()) == [(0, 4), (4, 4), (8, 2)]
     assert sum(r.n for r in by_piece(batch, lambda part: pd.DataFrame({"n": [len(part)]}), "n long").collect()) == 10
+
+
+def test_dense_topk_is_alike_beyond_the_broadcast_bound(spark):
+    rows = spark.range(60).select("id", F.array(*[F.sin(F.col("id") * k) for k in (1, 2, 3)]).alias("v"))
+    find = lambda **bound: retrieval.dense_topk(rows.where("id % 5 = 0"), rows, 3, "id", "id", "v", **bound)
+    plan = find(most=0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    got = [sorted(tuple(r) for r in find(**bound).collect()) for bound in ({}, {"most": 0})]
+    assert got[0] == got[1] and len(got[0]) == 36
+    assert find().where("false").count() == retrieval.dense_topk(rows.where("false"), rows, 3, "id", "id", "v").count() == 0
+
+
+def test_bootstrap_skips_nulls_and_single_values(spark):
+    from granary.operators.evaluation import bootstrap
+
+    rows = spark.createDataFrame([("s", 1, 0, 1.0), ("s", 1, 1, None), ("s", 2, 0, 2.0), ("s", 2, 1, 2.0), (None, 3, 0, 1.0), (None, 3, 1, 1.0)], "s string, p int, k int, v double")
+    assert sorted((r.s or "", r.n, r.best, r.worst_std) for r in bootstrap(rows, "s", "p", "v", "k", rounds=10).collect()) == [("", 2, 1.0, 0.0), ("s", 2, 2.0, 0.0)]
+    assert bootstrap(rows.where("false"), "s", "p", "v", "k", rounds=10).count() == 0
