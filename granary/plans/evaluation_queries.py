@@ -26,7 +26,7 @@ def val_mean_std(spark, sf_dir):
 def val_bootstrap(spark, sf_dir):
     """best, worst and majority at n; the resampled positions are NumPy's, so tests hold it against NumPy."""
     small = votes(spark, sf_dir).withColumn("prompt", F.concat_ws("/", "prompt", "day"))
-    return evaluation.bootstrap(small.withColumn("source", F.lit("events")), "source", "prompt", "value", "pos", "pred", rounds=200)
+    return evaluation.bootstrap(small.withColumn("source", F.lit("events")), "source", "prompt", "value", "pos", "pred")
 
 
 @query("SELECT event_type AS data_source, round(avg(value), 6) AS score, count(*) AS n FROM events GROUP BY 1")

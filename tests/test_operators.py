@@ -189,3 +189,22 @@ def test_losses_are_stable_and_checked(spark):
     with pytest.raises(ValueError):
         preference.dpo_loss(F.col("a"), F.col("b"), 1.0, "other")
     assert sequences.kl_controller([0.2, 0.0], 100, 0.1, 1000, 1.0) == pytest.approx([1.02, 1.02 * 0.98])
+
+
+def test_val_bootstrap_has_the_reference_resamples(spark):
+    """The registered query, against 1,000 resamples drawn with seed 42."""
+    from granary.plans.catalog import votes
+    from granary.plans.registry import QUERIES
+
+    groups = {}
+    for r in votes(spark, "/root/testdata/sf0.001").where("value is not null").collect():
+        groups.setdefault((r.prompt, r.day), []).append((r.pos, r.value))
+    met = {}
+    for rows in groups.values():
+        values = np.array([v for _, v in sorted(rows)])
+        for n in evaluation.sizes_below(len(values)) if len(values) > 1 else []:
+            np.random.seed(42)
+            met.setdefault(n, []).append(np.mean([values[np.random.choice(len(values), n, replace=True)].max() for _ in range(1000)]))
+    got = {r.n: r.best for r in QUERIES["val_bootstrap"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == met.keys()
+    assert all(got[n] == pytest.approx(np.mean(found), rel=1e-9) for n, found in met.items())
