@@ -34,6 +34,16 @@ def differencing(lengths: list[int], parts: int, equal: bool = False) -> list[li
     return [sorted(b[1]) for b in heap[0][2]] if heap else [[] for _ in range(parts)]
 
 
+def differencing_even(lengths: list[int], parts: int) -> list[list[int]]:
+    """``parts`` partitions of near-equal sums whose sizes differ by at most one, for any number of items.
+
+    Empty items fill the batch up to a multiple of ``parts`` and are left out again. They come
+    before all others, so they share the first round and no partition gets two of them.
+    """
+    pad = -len(lengths) % parts
+    return [[i - pad for i in p if i >= pad] for p in differencing([0] * pad + lengths, parts, equal=True)]
+
+
 def least_loaded(lengths: list[int], parts: int) -> list[list[int]]:
     """In input order, each item to the partition with the least load so far."""
     heap, out = [(0, p) for p in range(parts)], [[] for _ in range(parts)]

@@ -75,8 +75,7 @@ def kk_partition(spark, sf_dir):
 
 @query()
 def kk_equal_size(spark, sf_dir):
-    even = _lengths(spark, sf_dir).where("sample_id < 1")
-    return balance.by_group(even, "batch", "item", "length", lambda x: balance.differencing(x, next(k for k in (4, 3, 2, 1) if len(x) % k == 0), equal=True))
+    return balance.by_group(_lengths(spark, sf_dir), "batch", "item", "length", lambda x: balance.differencing_even(x, 4))
 
 
 @query()

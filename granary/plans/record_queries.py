@@ -320,6 +320,6 @@ def balanced_reorder(spark, sf_dir):
     """Each batch's rows by partitions of near-equal tokens, one partition after another."""
     from granary.operators import balance
 
-    rows = rollouts(spark, sf_dir).where("sample_id < 1").select(F.floor(C("uid") / 100).alias("batch"), C("uid").alias("item"), "length")
-    parts = balance.by_group(rows, "batch", "item", "length", lambda x: balance.differencing(x, next(k for k in (4, 3, 2, 1) if len(x) % k == 0), equal=True))
+    rows = rollouts(spark, sf_dir).select(F.floor(C("uid") / 100).alias("batch"), (C("uid") * 100 + C("sample_id")).alias("item"), "length")
+    parts = balance.by_group(rows, "batch", "item", "length", lambda x: balance.differencing_even(x, 4))
     return parts.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("part", "pos")) - 1)

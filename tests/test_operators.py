@@ -208,3 +208,28 @@ def test_val_bootstrap_has_the_reference_resamples(spark):
     got = {r.n: r.best for r in QUERIES["val_bootstrap"](spark, "/root/testdata/sf0.001").collect()}
     assert got.keys() == met.keys()
     assert all(got[n] == pytest.approx(np.mean(found), rel=1e-9) for n, found in met.items())
+
+
+@pytest.mark.parametrize("name", ["kk_equal_size", "balanced_reorder"])
+def test_even_partitions_take_every_rollout(spark, name):
+    """All rows of every batch, four partitions whatever its size, and sizes that differ by at most one."""
+    from granary.plans.catalog import rollouts
+    from granary.plans.registry import QUERIES
+
+    rows = {r.uid * 100 + r.sample_id: (r.uid // 100, r.length) for r in rollouts(spark, "/root/testdata/sf0.001").collect()}
+    found = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["item"] for r in found) == sorted(rows)
+    held = {}
+    for r in found:
+        assert rows[r["item"]][0] == r.batch
+        held.setdefault(r.batch, [[], [], [], []])[r.part].append(rows[r["item"]][1])
+    for parts in held.values():
+        sizes, sums = [len(p) for p in parts], [sum(p) for p in parts]
+        assert max(sizes) - min(sizes) <= 1 and max(sums) - min(sums) <= max(map(max, parts))
+
+
+def test_even_partitions_of_any_number():
+    rng = random.Random(4)
+    for n in range(30):
+        made = balance.differencing_even([rng.randrange(0, 3) for _ in range(n)], 4)
+        assert sorted(i for p in made for i in p) == list(range(n)) and max(map(len, made)) - min(map(len, made)) <= 1
