@@ -91,7 +91,7 @@ def micro_batches(spark, sf_dir):
 @query("SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id)::INT AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0 QUALIFY rank <= 3")
 def dense_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    found = retrieval.dense_topk(rows.where("vec_id % 50 = 0"), rows.where("vec_id % 50 <> 0"), 3, "vec_id", "vec_id", "embedding")
+    found = retrieval.dense_topk(rows.where("vec_id % 50 = 0"), rows, 3, "vec_id", "vec_id", "embedding")
     return found.select("query_id", "vec_id", r6(F.col("score"), "score"), "rank")
 
 

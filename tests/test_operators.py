@@ -233,3 +233,21 @@ def test_even_partitions_of_any_number():
     for n in range(30):
         made = balance.differencing_even([rng.randrange(0, 3) for _ in range(n)], 4)
         assert sorted(i for p in made for i in p) == list(range(n)) and max(map(len, made)) - min(map(len, made)) <= 1
+
+
+def test_dense_topk_searches_all_rows(spark):
+    """The registered query, against every inner product of the table."""
+    from granary.plans.registry import QUERIES
+    from granary.session import table
+
+    rows = sorted((r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.001", "embeddings").where("embedding is not null").collect())
+    ids, vectors = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
+    want = {}
+    for i, v in zip(ids, vectors, strict=True):
+        if i % 50 == 0:
+            want[i] = sorted(zip((-(vectors @ v)).tolist(), ids, strict=True))[:3]
+    got = {}
+    for r in sorted(QUERIES["dense_topk"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {q: [i for _, i in found] for q, found in want.items()}
+    assert all(s == pytest.approx(-w, abs=1e-6) for q in got for (_, s), (w, _) in zip(got[q], want[q], strict=True))
