@@ -133,3 +133,16 @@ def test_bootstrap_skips_nulls_and_single_values(spark):
     rows = spark.createDataFrame([("s", 1, 0, 1.0), ("s", 1, 1, None), ("s", 2, 0, 2.0), ("s", 2, 1, 2.0), (None, 3, 0, 1.0), (None, 3, 1, 1.0)], "s string, p int, k int, v double")
     assert sorted((r.s or "", r.n, r.best, r.worst_std) for r in bootstrap(rows, "s", "p", "v", "k", rounds=10).collect()) == [("", 2, 1.0, 0.0), ("s", 2, 2.0, 0.0)]
     assert bootstrap(rows.where("false"), "s", "p", "v", "k", rounds=10).count() == 0
+
+
+def test_unit_vectors_returns_every_component(spark):
+    import numpy as np
+
+    from granary.plans.registry import QUERIES
+    from granary.session import table
+
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in table(spark, "/root/testdata/sf0.001", "embeddings").where("embedding is not null").collect()}
+    got = {r.vec_id: r["head"] for r in QUERIES["unit_vectors"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == rows.keys()
+    for i, v in rows.items():
+        assert len(got[i]) == len(v) == 64 and np.allclose(got[i], v / np.linalg.norm(v), atol=1e-6)
