@@ -83,6 +83,42 @@ def test_personal_data(spark, odd, private_rows, empty):
     assert pii.report(empty).count() == 0
 
 
+def test_one_document_of_very_many_addresses(spark):
+    """The work is linear in a document's spans."""
+    text = " ".join(f"a{i}@b{i}.com" for i in range(100_000))
+    got = pii.report(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    found = {r.doc_id: r for r in got}
+    base = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text))
+    assert found[1].n_email == 100_000 and found[1].spans == base and found[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert found[2].n_email == 0 and found[2].spans == ""
+
+
+def test_rewritten_addresses_are_added(spark):
+    """No strict pattern takes these; the model knows them from base spans in rewritten form."""
+    rng = random.Random(2)
+    ip = lambda join: join.join(str(rng.randrange(1, 255)) for _ in range(4))
+    rows = [(i, f"host {ip('.')} said a{i}.b@mail{i % 7}.example.com or 300.{i}.700.999 again") for i in range(300)]
+    rows += [(1000 + i, f"host {ip('[.]')} said a{i}.b [at] mail{i % 7}.example.com again") for i in range(40)]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        if i >= 1000:
+            spans = [s.split(":") for s in got[i].spans.split(",")]
+            assert got[i].n_email == got[i].n_ip == 0 and [s[0] for s in spans] == ["email", "ip"]
+            assert "[at]" in text[int(spans[0][1]) : int(spans[0][2])] and "[.]" in text[int(spans[1][1]) : int(spans[1][2])]
+        else:
+            assert got[i].spans.count(":") == 4  # the number with parts above 255 isn't added
+
+
+def test_thresholds_are_calibrated():
+    rng = np.random.default_rng(2)
+    margins = rng.normal(0, 2, 4000)
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-(1.5 * margins - 1)))).astype(float)
+    bar = pii.calibrated(margins, truth, 0.9)
+    assert abs(1 / (1 + np.exp(-(1.5 * bar - 1))) - 0.9) < 0.03
+    assert pii.calibrated(margins, np.ones(4000)) == -np.inf and pii.calibrated(margins[:5], np.ones(5)) == np.inf == pii.calibrated(margins, np.zeros(4000)) == pii.calibrated(margins[:0], truth[:0])
+    assert pii.calibrated(-margins, truth) == np.inf
+
+
 def test_boosted_trees_and_their_expression(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 6, (800, 4)).astype(float)
