@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from granary.session import pinned
 
 FEW = 20_000
+SHARE = 1000
 
 
 def blocked(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
@@ -71,12 +72,14 @@ def _runs(table: pa.Table, handle: Callable) -> Iterator[pa.RecordBatch]:
         yield from handle(table, bounds)
 
 
-def near_pairs(bounds: np.ndarray, side: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(bounds: np.ndarray, side: np.ndarray, most: int, about: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of all pairs within groups that are to be compared, in bounded batches.
 
-    Small groups are paired all at once by their distance; larger ones in slabs.
+    Small groups are paired all at once by their distance; larger ones in slabs, where
+    ``about(rows, columns)`` may leave out pairs that can't link (a matrix of booleans).
     A group of two blocks pairs only rows of different sides.
     """
+    about = about or (lambda a, b: np.ones((len(a), len(b)), bool))
     sizes = np.diff(bounds)
     small = sizes <= most
     starts, ends = bounds[:-1][small], bounds[1:][small]
@@ -95,13 +98,15 @@ def near_pairs(bounds: np.ndarray, side: np.ndarray, most: int) -> Iterator[tupl
         if own.any():
             left, right = a + np.flatnonzero(own == 0), a + np.flatnonzero(own == 1)
             for at in range(0, len(left), 256):
-                i, j = np.repeat(left[at : at + 256], len(right)), np.tile(right, len(left[at : at + 256]))
+                i, j = np.nonzero(about(left[at : at + 256], right))
+                i, j = left[at : at + 256][i], right[j]
                 yield np.minimum(i, j), np.maximum(i, j)
         else:
             for at in range(a, b, 256):
                 block = np.arange(at, min(at + 256, b))
                 rest = np.arange(at, b)
-                i, j = np.repeat(block, len(rest)), np.tile(rest, len(block))
+                i, j = np.nonzero(about(block, rest))
+                i, j = block[i], rest[j]
                 keep = i < j
                 yield i[keep], j[keep]
 
@@ -158,6 +163,18 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("child").alias("node"), F.col("parent").alias("root"))
 
 
+def rejoin(rows: DataFrame, found: DataFrame, key: str, held: str) -> DataFrame:
+    """Rows with what was found for their key; ``held`` is how many rows have it.
+
+    Keys that hold more than ``1 / SHARE`` of all rows, of which there are fewer than
+    ``SHARE``, are broadcast; what remains to be shuffled has no hot key.
+    """
+    heavy = F.col(held) * SHARE > rows.count()
+    large, small = found.where(heavy), found.where(~heavy)
+    hot = rows.join(F.broadcast(large), key)
+    return hot.unionByName(rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key))
+
+
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("child", "parent")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("parent", "child").cast("decimal(38,0)")), F.lit(0))).first()
     return tuple(row)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.links import Forest, blocked, by_group, components, near_pairs
+from granary.llm.links import Forest, blocked, by_group, components, near_pairs, rejoin
 from granary.session import pinned
 
 SHINGLE = 3
@@ -191,12 +191,12 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, text_md5, component_id (the smallest doc_id reachable)."""
     rows = pinned(fingerprints(docs, shingle, id_col, text_col))
-    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")))
     roots = pinned(components(links(distinct, radius)))
-    rooted = pinned(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = pinned(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "held", F.coalesce("root", "fp").alias("root")))
     least = pinned(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    labelled = pinned(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return rows.join(labelled, "fp").select("doc_id", "fp", "text_md5", "component_id")
+    labelled = pinned(rooted.select("fp", "root", "held").join(least, "root").select("fp", "held", "component_id"))
+    return rejoin(rows, labelled, "fp", "held").select("doc_id", "fp", "text_md5", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,14 +153,41 @@ def test_embedding_dedup(spark):
     assert none.count() == 0
 
 
+def test_recall_right_above_the_threshold(spark):
+    """Pairs planted between 0.9301 and 0.94 among others; none below the threshold links."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((2500, 64))
+    other -= (other * base[:2500]).sum(axis=1, keepdims=True) * base[:2500]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = np.concatenate([rng.uniform(0.9301, 0.94, 1500), rng.uniform(0.92, 0.9299, 1000)])[:, None]
+    near = c * base[:2500] + np.sqrt(1 - c * c) * other
+    rows = [(k, v, k % 3) for k, v in enumerate(base.tolist())] + [(10_000 + k, v, k % 3) for k, v in enumerate(near.tolist())]
+    got = {r.vec_id: r for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(got[10_000 + k].component_id == k and not got[10_000 + k].kept for k in range(1500))
+    assert found >= 0.97 * 1500  # by the parameters 0.985 at the threshold
+    assert all(got[10_000 + k].n_links == 0 for k in range(1500, 2500))
+
+
+def test_labels_and_vectors_do_not_run_together(spark):
+    """The bytes of a longer vector's last component are the beginning of another row's label."""
+    import struct
+
+    x = struct.unpack("<d", b"ABCDEFGH")[0]
+    rows = [(1, [1.0, 2.0], "ABCDEFGHz"), (2, [1.0, 2.0, x], "z"), (3, [1.0, 2.0], "ABCDEFGHz")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+
+
 def test_split_vector_buckets_count_every_link(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal(8)
     rows = [(k, [float(x) for x in centre + 0.002 * rng.standard_normal(8)], 1) for k in range(150)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    classes = embedding_dedup.prepare(frame, "vec_id", "embedding", "label").selectExpr("vec_id AS cid", "1L AS n", "label", "unit")
+    classes = embedding_dedup.prepare(frame, "vec_id", "embedding", "label").selectExpr("vec_id AS cid", "1L AS n", "label", "raw")
     for block in (20, 1000):
-        found = embedding_dedup.compare(embedding_dedup.hashed(classes, 4, 12), 0.93, block).groupBy("cid").sum("links").collect()
+        found = embedding_dedup.linked(classes, 0.93, 4, 12, block).groupBy("cid").sum("links").collect()
         assert len(found) == 150 and all(r[1] >= 147 for r in found) and all(r[1] <= 149 for r in found)
 
 
