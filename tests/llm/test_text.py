@@ -150,6 +150,21 @@ def test_minimax_cuts_against_brute_force():
         assert sharding.minimax_cuts(sizes, shards)[0] == best(0, shards)
 
 
+def test_cuts_are_minimax_over_groups(spark):
+    """Though few intervals are held at first, the cuts are those of all groups."""
+    rng = random.Random(11)
+    for trial, (n, shards) in enumerate([(3000, 7), (900, 40), (50, 12), (4000, 40)]):
+        sizes = [rng.randrange(17, 4000) if rng.random() < 0.99 else rng.randrange(4000, 30_000) for _ in range(n)]
+        if trial == 3:
+            sizes = [int(rng.paretovariate(1.1) * 20) for _ in range(n)]
+        places = sorted(rng.sample(range(1 << 60), n)) if trial else sorted(rng.sample(range(1 << 30), n))  # crowded at one end
+        capacity, ends = sharding.minimax_cuts(np.array(sizes, np.int64), shards)
+        frame = spark.createDataFrame(list(zip(places, sizes)), "place long, size long")
+        begins = sharding.cuts(frame, shards, cells=16, split=4)
+        want = [places[e] for e in ends if e < n]
+        assert [sum(p < b for p in places) for b in begins] == [sum(p < w for p in places) for w in want]
+
+
 def test_sharding(odd, odd_rows, empty):
     got = sharding.shard(odd, shards=7).collect()
     assert len(got) == len(odd_rows)
@@ -165,3 +180,14 @@ def test_sharding(odd, odd_rows, empty):
     rest = sum(loads) - sum(long)
     assert max(load for load in loads if load not in long) <= rest / 5 + 2500
     assert sharding.shard(empty, 7).count() == 0
+    few = {(r.doc_id, r.shard, r.slot) for r in sharding.shard(odd, shards=7, cells=2, split=2).collect()}
+    assert few == {(r.doc_id, r.shard, r.slot) for r in got}
+    order = defaultdict(int)
+    for r in odd_rows:
+        text = (r[1] or "").encode()
+        order[int(hashlib.md5(text).hexdigest()[:15], 16)] += len(text) + 16
+    single = set()
+    while max(v for k, v in order.items() if k not in single) * (7 - len(single)) > sum(v for k, v in order.items() if k not in single):
+        single.add(max((k for k in order if k not in single), key=lambda k: order[k]))
+    best = sharding.minimax_cuts(np.array([order[k] for k in sorted(order) if k not in single], np.int64), 7 - len(single))[0]
+    assert loads[-1] == max(best, *(order[k] for k in single))
