@@ -12,8 +12,8 @@ and the excess is shared by weight among the others. That is the water level
 the sources in the order of ``cap_s / w_s``.
 
 Defined results: null texts have size 0; a null source is a source; repeated
-rows are mixed each for itself; an empty table gives an empty result; further
-columns are ignored.
+rows, ids and null ids are mixed each row for itself; an empty table gives an
+empty result; further columns are ignored or, in :func:`mixed_rows`, kept.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.prefix import cell_count, cell_of, hash_key, within_cell
+from granary.llm.rows import FEW, fresh, likeness, named, numbered
 from granary.session import pinned
 
 WEIGHTS = (5, 2, 1)
@@ -50,16 +51,16 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return filled.select("src", "source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies, key.
+ORDER = ("key", "doc_id", "size", "like", "file", "index")  # of a source's rows; the first decides but for repeated ids
 
-    ``taken`` is what the mix takes of the document's size over all epochs;
-    ``copies`` is the same in whole documents, the one at the cut rounded.
-    """
+
+def _placed(docs: DataFrame, weights: tuple, share: float, cap: int, seed: str, id_col: str, text_col: str, source_col: str, like: Column, file: Column, index: Column) -> DataFrame:
+    """One narrow row per document, with ``taken`` and ``copies`` as in :func:`mix`."""
     source = F.col(source_col).cast("string")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("~")).alias("src"), word_count(F.col(text_col)).alias("size")
-    )
+        F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), _bucket(source).alias("src"), word_count(F.col(text_col)).alias("size"),
+        like.alias("like"), file.alias("file"), index.alias("index"),
+    )
     rows = pinned(rows.withColumn("key", hash_key(seed, "doc_id")))
     rows = rows.withColumn("cell", cell_of("key", cell_count(rows)))
     cells = rows.groupBy("src", "cell").agg(F.sum("size").alias("cell_total"), F.first("source").alias("source"))
@@ -67,21 +68,42 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     run = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.select("src", "cell", (F.sum("cell_total").over(run) - F.col("cell_total")).alias("cell_before"))
     cells = cells.join(targets(sources, weights, share, cap).select("src", "source_size", "target"), "src")
-    placed = within_cell(rows, "src", "cell", ["key", "doc_id", "size"], "size").join(cells, ["src", "cell"])
+    placed = within_cell(rows, "src", "cell", list(ORDER), "size").join(cells, ["src", "cell"])
     goal = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - epochs * F.col("source_size") - (F.col("cell_before") + F.col("in_cell"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    whole = F.when((rest > 0) & (part * 2 >= F.col("size")), 1).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), (epochs + whole).cast("int").alias("copies"), "key")
-
-
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with the input's columns, each as often as its copies."""
-    chosen = mix(docs, id_col=id_col, **options).where("copies > 0")
-    # Rows that repeat an id, text and source are interchangeable; their copies add up over one of them.
-    chosen = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(options.get("source_col", "source")).cast("string"), "__size": word_count(F.col(options.get("text_col", "text")))})
-    met = keyed.alias("d").join(chosen.alias("c"), (F.col("d.__id").eqNullSafe(F.col("c.__id"))) & (F.col("d.__source").eqNullSafe(F.col("c.__source"))) & (F.col("d.__size") == F.col("c.__size")))
-    each = F.greatest(F.lit(1), F.round(F.col("c.__copies") / F.col("c.__rows")).cast("int"))
-    return met.select("d.*", F.explode(F.array_repeat(F.lit(0), each)).alias("__copy")).drop("__id", "__source", "__size", "__copy")
+    placed = placed.withColumns({"epochs": epochs.cast("int"), "whole": F.when((rest > 0) & (part * 2 >= F.col("size")), 1).otherwise(0), "part": part})
+    return placed.withColumns({"taken": (F.col("epochs") * F.col("size") + F.col("part")).cast("long"), "copies": F.col("epochs") + F.col("whole")})
+
+
+def _bucket(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, copies, key.
+
+    ``taken`` is what the mix takes of the document's size over all epochs;
+    ``copies`` is the same in whole documents, the one at the cut rounded.
+    """
+    placed = _placed(docs, weights, share, cap, seed, id_col, text_col, source_col, likeness(docs), F.lit(b""), F.monotonically_increasing_id())
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "key")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix with the input's columns, each as often as its copies.
+
+    In a source's order the documents with one copy more come first, so a row's copies
+    follow from the last of them: one place per source meets the documents, which don't move.
+    """
+    rows, file, index = numbered(docs)
+    placed = _placed(rows, weights, share, cap, seed, id_col, text_col, source_col, likeness(docs), F.col(file), F.col(index))
+    last = placed.groupBy("src").agg(F.max(F.when(F.col("whole") == 1, F.struct(*ORDER))).alias("last"), F.first("epochs").alias("epochs"))
+    src, ends, epochs, copy = fresh(rows.columns, "src", "last", "epochs", "copy")
+    last = pinned(last.select(F.col("src").alias(src), F.col("last").alias(ends), F.col("epochs").alias(epochs)))
+    met = rows.withColumn(src, _bucket(named(source_col).cast("string"))).join(F.broadcast(last) if last.count() <= FEW else last, src)
+    doc_id, size = named(id_col).cast("long"), word_count(named(text_col))
+    own = F.struct(hash_key(seed, doc_id).alias("key"), doc_id.alias("doc_id"), size.alias("size"), likeness(docs).alias("like"), named(file).alias("file"), named(index).alias("index"))
+    copies = F.col(epochs) + F.when(own <= F.col(ends), 1).otherwise(0)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)), F.lit(1)))).where(copies > 0).select(*[named(c) for c in docs.columns])

@@ -14,7 +14,8 @@ Whatever meets is verified on all 64 bits.
 Defined results: a null or blank text has fingerprint 0 and links like any
 other; fewer words than a shingle make one shingle of all of them; repeated
 rows and exact copies share a fingerprint and so a component; a null id takes
-no part in a minimum; an empty table gives an empty result.
+no part in a minimum; an empty table gives an empty result; further columns are
+ignored or, in :func:`keep_one`, kept.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.links import Forest, blocked, by_group, components, near_pairs, rejoin
+from granary.llm.rows import likeness, numbered, without
 from granary.session import pinned
 
 SHINGLE = 3
@@ -61,18 +63,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, text_md5) of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("text_md5"), text.alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_md5", pa.string())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", **others: Column) -> DataFrame:
+    """(fp, and the ``others`` by name) of every row."""
+    chosen = docs.select(*[c.alias(n) for n, c in others.items()], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = chosen.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(1)], schema=schema)
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
-    return chosen.mapInArrow(run, "doc_id long, fp long, text_md5 string")
+    return chosen.mapInArrow(run, schema)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -188,24 +189,28 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return by_group(rows, ["part", "key"], ["fp"], handle, "child long, parent long", ["fp", "probe"])
 
 
+def _least(rows: DataFrame, value: Column, radius: int) -> DataFrame:
+    """The rows, with ``least``: the smallest ``value`` of their component."""
+    distinct = pinned(rows.groupBy("fp").agg(F.min(value).alias("own"), F.count("*").alias("held")))
+    roots = pinned(components(links(distinct.select("fp"), radius)))
+    rooted = pinned(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "own", "held", F.coalesce("root", "fp").alias("root")))
+    least = pinned(rooted.groupBy("root").agg(F.min("own").alias("least")))
+    return rejoin(rows, pinned(rooted.join(least, "root").select("fp", "held", "least")), "fp", "held")
+
+
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, text_md5, component_id (the smallest doc_id reachable)."""
-    rows = pinned(fingerprints(docs, shingle, id_col, text_col))
-    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")))
-    roots = pinned(components(links(distinct, radius)))
-    rooted = pinned(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "held", F.coalesce("root", "fp").alias("root")))
-    least = pinned(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    labelled = pinned(rooted.select("fp", "root", "held").join(least, "root").select("fp", "held", "component_id"))
-    return rejoin(rows, labelled, "fp", "held").select("doc_id", "fp", "text_md5", "component_id")
+    """One row per input row: doc_id, fp, component_id (the smallest doc_id reachable)."""
+    rows = pinned(fingerprints(docs, shingle, text_col, doc_id=F.col(id_col).cast("long")))
+    return _least(rows, F.col("doc_id"), radius).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows that stay, with its columns: of each component the row with the smallest id.
 
-    A component without any id keeps its rows without id.
+    Of rows that share that id, or in a component without ids, the one with the smallest hash of all columns.
     """
-    found = near_dedup(docs, shingle, radius, id_col, text_col)
-    low = F.lit(-(1 << 63)).cast("long")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", low).alias("__id"), F.col("text_md5").alias("__md5"))
-    named = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), low), "__md5": F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
-    return named.join(stay, ["__id", "__md5"], "left_semi").dropDuplicates(["__id", "__md5"]).drop("__id", "__md5")
+    whole, file, index = numbered(docs)
+    others = {"doc_id": F.col(id_col).cast("long"), "like": likeness(docs), "file": F.col(file), "index": F.col(index)}
+    rows = pinned(fingerprints(whole, shingle, text_col, **others))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "like", "file", "index")
+    return without(whole, _least(rows, rank, radius).where(rank != F.col("least")), file, index)

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,6 +56,36 @@ def test_exact_dedup(odd, odd_rows):
     assert Counter((r.doc_id, r.text or "") for r in rows.collect()) == Counter((largest[t], t) for t in groups)
 
 
+def test_texts_under_one_digest_stay_apart(odd, odd_rows):
+    """With 8 bits of the digest many different texts of equal length clash; content decides."""
+    rows = [*odd_rows, *((5000 + i, f"{i:04}", None, None, None, 1, "s", 2) for i in range(1200)), *((9000 + i, f"{i % 40:04}", None, None, None, 1, "s", 2) for i in range(200))]
+    frame = odd.sparkSession.createDataFrame(rows, odd.schema)
+    want = [Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame, bits=bits).collect() if r.doc_id is not None) for bits in (256, 8)]
+    assert want[0] == want[1]
+    groups = Counter(r[1] or "" for r in rows)
+    got = exact_dedup.keep_rows(frame, bits=8).collect()
+    assert Counter(r.text or "" for r in got) == Counter(list(groups))
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep_rows, simhash.keep_one])
+def test_survivors_do_not_depend_on_the_order(spark, keep, tmp_path):
+    """Rows equal in id and text that differ elsewhere; columns named like the operators' own."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["a b", "a b c d e", "x"]), k % 7, f"v{k}", k) for k in range(60)] + [(1, "a b", 0, "same", 0)] * 3
+    schema = "doc_id long, text string, file int, `__id` string, index int"
+    found = []
+    for turn in range(2):
+        frame = spark.createDataFrame(rows, schema).repartition(5 - turn)
+        if turn:
+            frame.write.parquet(str(tmp_path / "docs"))
+            frame = spark.read.parquet(str(tmp_path / "docs"))
+        kept = keep(frame)
+        assert kept.columns == frame.columns
+        found.append(Counter(map(tuple, kept.collect())))
+        rng.shuffle(rows)
+    assert found[0] == found[1] and found[0].total() == 3
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

@@ -134,6 +134,34 @@ def test_mixing(odd, odd_rows, empty):
     assert mixing.mix(empty).count() == mixing.mixed_rows(empty).count() == 0
 
 
+def test_mixed_rows_of_null_and_repeated_ids(spark, tmp_path):
+    """Sources meet their targets whatever the ids are, and only rows of the table come out."""
+    rng = random.Random(6)
+    for ids in (lambda k: None, lambda k: k, lambda k: k % 3):
+        rows = [(ids(k), " ".join([f"w{k}"] * rng.randrange(1, 4)) if k % 10 else "same text", "abc"[k % 3], k if k % 10 else 0) for k in range(240)]
+        sizes = Counter()
+        for r in rows:
+            sizes[r[2]] += len(r[1].split())
+        want = brute_targets(sizes)
+        out = []
+        for turn in range(2):
+            frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(4 + turn)
+            if turn:
+                path = str(tmp_path / f"docs{rng.random()}")
+                frame.write.parquet(path)
+                frame = spark.read.parquet(path)
+            mixed = mixing.mixed_rows(frame)
+            assert mixed.columns == frame.columns
+            out.append(Counter(map(tuple, mixed.collect())))
+        assert out[0] == out[1] and set(out[0]) <= set(rows)
+        held = Counter(rows)
+        assert all(n <= 2 * held[r] for r, n in out[0].items())
+        taken = Counter()
+        for r, n in out[0].items():
+            taken[r[2]] += n * len(r[1].split())
+        assert all(abs(taken[s] - want[s]) <= 3 for s in want)
+
+
 def test_minimax_cuts_against_brute_force():
     rng = random.Random(4)
     for _ in range(40):
