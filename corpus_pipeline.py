@@ -5,18 +5,24 @@
 3. near_dedup    of each SimHash component keeps the row with the smallest doc_id
 4. mixing        repeats or leaves out documents so that each source meets its target
 5. bpe           encodes the mix: doc_id, n_tokens, ids and digests, a row per copy
+
+Defined results: a null text is an empty text, which scores the rate of the toxic
+class, equals other empty texts, has fingerprint zero and no tokens; a null id is
+smaller than any id for stage 2 and larger for stage 3; of rows with equal ids and
+texts the hash of all columns decides; a null source is a source; further columns,
+whatever their names, pass through all stages but the last; an empty table gives
+an empty result, and without labels no document goes in stage 1.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from granary.session import table
+from granary.session import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

@@ -28,14 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Write a narrow intermediate to the reliable checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; only on one machine may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="granary-")
+
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) is a temporary folder chosen here.
-    """
+def pinned(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate to the reliable checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="granary-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
