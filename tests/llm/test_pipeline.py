@@ -84,3 +84,34 @@ def test_the_mix_is_encoded(steps):
 
 def test_run_is_the_stages_in_turn(spark, steps):
     assert same(corpus_pipeline.run(spark, SF).drop("ids").collect()) == Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.round_trip) for r in steps["bpe"][1])
+
+
+def test_odd_rows_pass_all_stages(spark, odd, odd_rows, tmp_path):
+    """Nulls in any column, repeated rows, ties and clashing names; each stage as stated."""
+    frame = odd.withColumnsRenamed({"shard": "file", "size": "src", "row": "index"})
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(r[0], int(r[0] % 7 == 0)) for r in odd_rows if r[0] is not None], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns or k == 4
+        made.write.parquet(str(tmp_path / str(k)))
+        before, docs = docs, spark.read.parquet(str(tmp_path / str(k)))
+        if k == 1:
+            texts = Counter(r.text or "" for r in docs.collect())
+            assert set(texts) == {r.text or "" for r in before.collect()} and max(texts.values()) == 1
+        elif k == 2:
+            fp = [brute_fingerprint(r.text) for r in before.collect()]
+            root = components(set(fp), [(a, b) for a in set(fp) for b in set(fp) if a < b and (a ^ b).bit_count() <= 3])
+            assert docs.count() == len(set(root.values())) and docs.exceptAll(before).count() == 0
+        elif k == 3:
+            assert set(map(tuple, docs.collect())) <= set(map(tuple, before.collect()))
+    assert docs.count() == before.count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_empty_tables_pass_all_stages(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
