@@ -13,12 +13,14 @@ training count, the maximum-entropy solution for word features alone.
   are broadcast; counts of the others are joined to the texts that use them,
   and no such word is frequent enough to make a hot key.
 * Each of the most frequent words is a class of its own; the others are
-  clustered by their character n-grams, rarer words by the last three bytes.
-* The class factor is trained by distributed updates: each sums, over its own
-  disjoint slice of the training texts, how often each feature was met with each
-  class and how often the model so far expected it, in sparse numpy batches on
-  the executors; the log of the ratio moves the weights (iterative scaling).
-  Together the slices are all training texts.
+  clustered by their character n-grams, rarer words by the last three bytes. As
+  features, rarer words are told apart by a hash of the whole word as well.
+* The class factor is trained by distributed gradient updates over all training
+  texts: how often each feature was met with each class, less how often the model
+  so far expects it, is the gradient of the log-likelihood; both are summed in
+  sparse numpy batches on the executors. A step divides it by the expected count,
+  which is about its curvature. At the start the expected counts follow from the
+  met ones, so each update but the first reads the texts once.
 
 Defined results: null and blank texts are an end alone; repeated rows are scored
 each for itself; a missing id counts as remainder 0; an empty table gives an
@@ -44,10 +46,12 @@ HEAVY = 1 << 20
 SINGLES = 20
 CLUSTERS = 28
 CLASSES = SINGLES + CLUSTERS
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 SUFFIXES = 1 << 10
-UPDATES = 3
+RARE = 1 << 8  # numbers of rarer words with one suffix
+UPDATES = 2
 STEP = 0.4
+STEEP = 3.0  # what a step's ratio is held below
 PRIOR = 60.0  # counts that hold a feature to the rates of all tokens
 CHUNK = 8192
 MEMO = 300_000
@@ -94,7 +98,7 @@ def profiles(words: list[bytes]) -> np.ndarray:
     """Hashed counts of each word's character 1- to 3-grams, of unit length."""
     out = np.zeros((len(words), 96), np.float32)
     for row, word in enumerate(words):
-        edged = b"<" + word[:40] + b">"
+        edged = b"<" + word + b">"
         for n in (1, 2, 3):
             for i in range(len(edged) - n + 1):
                 h = zlib.crc32(edged[i : i + n])
@@ -102,24 +106,29 @@ def profiles(words: list[bytes]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
-def cluster(words: list[bytes], counts: np.ndarray, seed: int = 5) -> np.ndarray:
-    """The class of each word and, behind them, of each suffix bucket; words come by falling count."""
+def cluster(words: list[bytes], counts: np.ndarray, seed: int = 5, chunk: int = 20_000) -> np.ndarray:
+    """The class of each word and, behind them, of each suffix bucket; words come by falling count.
+
+    Centres are those of the first chunk, moved by every later one (k-means in mini-batches).
+    """
     draw = np.random.default_rng(seed)
-    fitted = min(len(words), 20_000)
-    centres = np.zeros((CLUSTERS, 96), np.float32)
-    if fitted > SINGLES:
-        points, weight = profiles(words[SINGLES:fitted]), np.sqrt(counts[SINGLES:fitted]).astype(np.float32)[:, None]
-        centres = points[draw.choice(len(points), CLUSTERS, replace=len(points) < CLUSTERS)].copy()
-        for _ in range(12):
+    centres, mass = np.zeros((CLUSTERS, 96), np.float32), np.zeros((CLUSTERS, 1), np.float32)
+    for at in range(SINGLES, len(words), chunk):
+        points, weight = profiles(words[at : at + chunk]), np.sqrt(counts[at : at + chunk]).astype(np.float32)[:, None]
+        if at == SINGLES:
+            centres = points[draw.choice(len(points), CLUSTERS, replace=len(points) < CLUSTERS)].copy()
+        for turn in range(12 if at == SINGLES else 1):
             near = np.argmax(points @ centres.T, axis=1)
-            sums = np.zeros_like(centres)
+            sums = np.zeros_like(centres) if at == SINGLES else centres * mass
             np.add.at(sums, near, points * weight)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norms > 0, sums / np.maximum(norms, 1e-6), centres)
+            if turn == 11 or at > SINGLES:
+                mass = norms
     classes = np.empty(len(words) + SUFFIXES, np.int16)
     classes[: min(SINGLES, len(words))] = np.arange(min(SINGLES, len(words)))
-    for at in range(SINGLES, len(words), 20_000):
-        classes[at : min(at + 20_000, len(words))] = SINGLES + np.argmax(profiles(words[at : at + 20_000]) @ centres.T, axis=1)
+    for at in range(SINGLES, len(words), chunk):
+        classes[at : min(at + chunk, len(words))] = SINGLES + np.argmax(profiles(words[at : at + chunk]) @ centres.T, axis=1)
     # A suffix bucket has the class that most of its words among the known ones have.
     votes = np.zeros((SUFFIXES, CLUSTERS))
     for word, c in zip(words[SINGLES:], classes[SINGLES : len(words)], strict=True):
@@ -138,16 +147,21 @@ class Model:
         self.intercepts = np.log(np.maximum(totals, 1e-9) / max(totals.sum(), 1e-9)).astype(np.float32)
         self.weights = np.zeros((BUCKETS, CLASSES), np.float32)
 
+    def class_of(self) -> np.ndarray:
+        """The class of every word number."""
+        known = len(self.words)
+        return np.concatenate([self.classes[:known], np.repeat(self.classes[known:], RARE)])
+
 
 class _Numbers(dict):
-    """Word numbers: known words, then suffix buckets."""
+    """Word numbers: known words, then for each suffix ``RARE`` numbers of rarer words."""
 
     def __init__(self, words: list[bytes]):
         super().__init__((w, i) for i, w in enumerate(words))
         self.known = len(words)
 
     def __missing__(self, word: bytes) -> int:
-        number = self.known + suffix(word)
+        number = self.known + suffix(word) * RARE + (zlib.crc32(word) & (RARE - 1))
         if len(self) < self.known + MEMO and len(word) <= 40:
             self[word] = number
         return number
@@ -199,36 +213,40 @@ def class_odds(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return odds, odds @ np.ones(CLASSES, np.float32)
 
 
-def update(docs: DataFrame, shared, weights, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Over some training texts: how often each feature met each class, and how often it was expected to."""
+def gathered(docs: DataFrame, shared, weights, parts: int) -> np.ndarray:
+    """Over all training texts, how often each feature met each class; given weights, how often the model expects it to."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, numbers = shared.value, _numbers(shared)
-        model.weights = weights.value
-        met, due = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, CLASSES), np.float32)
+        class_of = model.class_of()
+        if weights is not None:
+            model.weights = weights.value
+        sums = np.zeros((BUCKETS, CLASSES), np.float32 if weights else np.float64)
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
-                flat, features, _ = events([words_of(t.as_py()) for t in batch.column(0).slice(at, 300)], numbers, model.classes)
-                classes = model.classes[flat].astype(np.int64)
-                for own in features:
-                    met += np.bincount(own.astype(np.int64) * CLASSES + classes, minlength=BUCKETS * CLASSES).reshape(met.shape)
+                flat, features, _ = events([words_of(t.as_py()) for t in batch.column(0).slice(at, 300)], numbers, class_of)
+                if weights is None:
+                    classes = class_of[flat].astype(np.int64)
+                    for own in features:
+                        sums += np.bincount(own.astype(np.int64) * CLASSES + classes, minlength=BUCKETS * CLASSES).reshape(sums.shape)
+                    continue
                 for a in range(0, len(flat), CHUNK):
                     f = features[:, a : a + CHUNK]
-                    law, sums = class_odds(model, f)
-                    law /= sums[:, None]
+                    law, totals = class_odds(model, f)
+                    law /= totals[:, None]
                     for own in f:
                         order = np.argsort(own, kind="stable")  # by counting, the features being short integers
                         ranked = own[order]
                         edges = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
-                        due[ranked[edges]] += np.add.reduceat(law[order], edges)
-        seen = np.flatnonzero(met.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.int32()), "met": pa.array([r.tobytes() for r in met[seen]], pa.binary()), "due": pa.array([r.tobytes() for r in due[seen]], pa.binary())})
+                        sums[ranked[edges]] += np.add.reduceat(law[order], edges)
+        seen = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.int32()), "sums": pa.array([r.tobytes() for r in sums[seen].astype(np.float32)], pa.binary())})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for feature, met, due in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = np.frombuffer(met + due, np.float32).astype(np.float64)
+            for feature, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = np.frombuffer(own, np.float32).astype(np.float64)
                 if feature in sums:
                     sums[feature] += row
                 else:
@@ -236,13 +254,11 @@ def update(docs: DataFrame, shared, weights, parts: int) -> tuple[np.ndarray, np
         if sums:
             yield pa.RecordBatch.from_pydict({"feature": pa.array(list(sums), pa.int32()), "sums": pa.array([r.astype(np.float32).tobytes() for r in sums.values()], pa.binary())})
 
-    partial = docs.select("text").mapInArrow(measure, "feature int, met binary, due binary")
-    rows = partial.repartition(parts, "feature").mapInArrow(total, "feature int, sums binary").collect()  # at most BUCKETS rows
-    met, due = np.zeros((BUCKETS, CLASSES)), np.zeros((BUCKETS, CLASSES))
-    for r in rows:
-        both = np.frombuffer(r["sums"], np.float32)
-        met[r["feature"]], due[r["feature"]] = both[:CLASSES], both[CLASSES:]
-    return met, due
+    partial = docs.select("text").mapInArrow(measure, "feature int, sums binary")
+    out = np.zeros((BUCKETS, CLASSES))
+    for r in partial.repartition(parts, "feature").mapInArrow(total, "feature int, sums binary").collect():  # at most BUCKETS rows
+        out[r["feature"]] = np.frombuffer(r["sums"], np.float32)
+    return out
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -272,11 +288,14 @@ def train(docs: DataFrame, heavy: int = HEAVY) -> tuple[Model, DataFrame]:
     shared = context.broadcast(model)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     learning = docs.where("not held_out")
+    rates = np.exp(model.intercepts)
+    met = gathered(learning, shared, None, parts)
+    due = met.sum(axis=1, keepdims=True) * rates
     for k in range(UPDATES):
-        own_slice = learning.where(F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(UPDATES)) == k)
-        met, due = update(own_slice, shared, context.broadcast(model.weights), parts)
-        move = np.clip(np.log((met + PRIOR * np.exp(model.intercepts)) / (due + PRIOR * np.exp(model.intercepts))), -3, 3)
-        model.weights = np.clip(model.weights + STEP * move, -6, 6).astype(np.float32)
+        if k:
+            due = gathered(learning, shared, context.broadcast(model.weights), parts)
+        step = np.minimum((met - due) / (due + PRIOR * rates), STEEP)
+        model.weights = np.clip(model.weights + STEP * step, -6, 6).astype(np.float32)
     return model, rare.select("word", "c")
 
 
@@ -297,16 +316,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
         model.weights = weights.value
         known = len(model.words)
         # By word number: log10 of what a token has of its class, and of all tokens; the count is joined for rare ones.
-        inside = np.append(np.log10(model.counts + 0.5), np.zeros(SUFFIXES))
-        share = np.log10(np.maximum(model.totals, 1e-300))[model.classes]
-        heard = np.append(model.counts > 0, np.zeros(SUFFIXES, bool))
+        class_of = model.class_of()
+        inside = np.append(np.log10(model.counts + 0.5), np.zeros(SUFFIXES * RARE))
+        share = np.log10(np.maximum(model.totals, 1e-300))[class_of]
+        heard = np.append(model.counts > 0, np.zeros(SUFFIXES * RARE, bool))
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 texts = [words_of(t.as_py()) for t in part.column(3)]
-                flat, features, starts = events(texts, numbers, model.classes)
+                flat, features, starts = events(texts, numbers, class_of)
                 gain = np.empty(len(flat))
-                classes = model.classes[flat].astype(np.int64)
+                classes = class_of[flat].astype(np.int64)
                 for a in range(0, len(flat), CHUNK):
                     odds, sums = class_odds(model, features[:, a : a + CHUNK])
                     gain[a : a + CHUNK] = np.log10(np.maximum(odds[np.arange(len(odds)), classes[a : a + CHUNK]] / sums, 1e-30))

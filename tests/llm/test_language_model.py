@@ -53,7 +53,7 @@ def test_class_odds():
     assert len(classes) == len(words) + language_model.SUFFIXES and classes.min() >= 0 and classes.max() < language_model.CLASSES
     model = language_model.Model(words, counts, classes, np.bincount(classes, minlength=language_model.CLASSES) + 0.5, 10, 5)
     model.weights = np.random.default_rng(1).standard_normal(model.weights.shape).astype(np.float32)
-    flat, features, starts = language_model.events([[b"the", b"zz"], [], [b"of"] * 5], language_model._Numbers(words), classes)
+    flat, features, starts = language_model.events([[b"the", b"zz"], [], [b"of"] * 5], language_model._Numbers(words), model.class_of())
     assert starts.tolist() == [0, 3, 4, 10] and features.shape == (4, 10) and features.min() >= 0 and features.max() < language_model.BUCKETS
     model.weights = np.clip(model.weights, -6, 6)
     odds, sums = language_model.class_odds(model, features)
