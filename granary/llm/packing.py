@@ -1,7 +1,7 @@
 """Packing token ids into fixed rows by best-fit-decreasing.
 
 Documents are tokenized, split losslessly into segments of at most
-``capacity`` ids, and dealt by a hash of (id, text) to packs of about
+``capacity`` ids, and dealt by a hash of the row's number to packs of about
 ``pack_mb`` of text. Each pack is packed on its own: its segments, longest
 first, go to the row with the least room that still holds them, found in a
 segment tree over room left; a row opens when none fits. Nothing is dropped.
@@ -13,7 +13,9 @@ the ids, 0 at each segment's start and over the padding), and the documents and
 offsets its segments come from.
 
 Defined results: null and empty texts have no tokens and no segment; repeated
-rows are packed each for itself; an empty table gives an empty result.
+rows are packed each for itself, in packs of their own; further columns are
+ignored; an empty table gives an empty result. A table split otherwise into
+partitions is dealt otherwise, with the same tokens in all.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def tokens(docs: DataFrame, ranks_path: str, packs: int, id_col: str = "doc_id",
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(packs)).cast("int").alias("pack"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(packs)).cast("int").alias("pack"),
     ).where("text != ''")
     schema = pa.schema([("pack", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
