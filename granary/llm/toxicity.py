@@ -9,8 +9,8 @@ share their n-grams' vectors. The softmax being linear, a trained word has one
 log-odds, which scoring keeps in a bounded memo.
 
 Training takes at most ``sample`` labelled rows of each class, the first by a
-hash of the id, with whole texts; the class rates come from all labelled
-training rows and correct the intercept.
+hash of the id, with whole texts and of them no more than ``most_bytes`` in all;
+the class rates come from all labelled training rows and correct the intercept.
 
 Defined results: null and blank texts score the rate of the class, as do all
 texts if no row is labelled with both classes; rows without label don't train;
@@ -29,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.session import pinned
+
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 PASSAGE = 3
 SAMPLE = 3000
+MOST_BYTES = 128 << 20
 THRESHOLD = 0.7
 EPOCHS = 20
 EDGES = ".,;:!?*#%&$\"'()[]{}<>|/\\-_=+~`^@…«»“”‘’¿¡"
@@ -167,7 +170,7 @@ def remainder(id_col: str | Column, by: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(by)), F.lit(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model:
     """Train on labelled rows whose id's remainder by 3 isn't 1."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(remainder("id", 3) != 1).groupBy("id").agg(F.max("y").alias("y"))
@@ -176,7 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = drawn[0].unionByName(drawn[1])  # at most 2 * sample rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
-    rows = sorted((r["id"], r["text"], r["y"]) for r in texts.select("id", "text", "y").collect())
+    texts = pinned(texts.select("id", "text", "y", F.octet_length("text").alias("held"), F.xxhash64("id", "text").alias("place")))
+    held, within = 0, []
+    for r in texts.select("place", "held").orderBy("place").collect():
+        held += r["held"]
+        if held <= most_bytes:
+            within.append(r["place"])
+    last = within[-1] if within else -(1 << 63)
+    rows = sorted((r["id"], r["text"], r["y"]) for r in texts.where(F.col("place") <= last).select("id", "text", "y").collect())
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), prior)
 
 

@@ -172,6 +172,37 @@ def test_toxicity_held_out(spark, odd, toxic_rows):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in got if not r.predicted)
 
 
+def test_toxicity_scores_against_brute_force(spark, odd, odd_rows, toxic_rows):
+    rows, labels = toxic_rows
+    model = toxicity.fit(spark.createDataFrame(rows, odd.schema), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def vector(word):
+        edged = f"<{word}>"
+        own = [edged] + [edged[i : i + n] for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
+        return np.mean([model.embeddings[zlib.crc32(g.encode()) % toxicity.BUCKETS].astype(float) for g in own], axis=0)
+
+    def brute(text):
+        words = [w for w in (x.strip(toxicity.EDGES) for x in text.lower().split()) if w]
+        if not words:
+            return model.prior
+        parts = -(-len(words) // toxicity.PASSAGE)
+        edges = [int(len(words) * k / parts) for k in range(parts + 1)]
+        logits = [np.mean([vector(w) for w in words[a:b]], axis=0) @ model.weights + model.intercepts for a, b in zip(edges, edges[1:], strict=False)]
+        return max(np.exp(x[1]) / np.exp(x).sum() for x in logits)
+
+    chosen = [r for r in [*odd_rows, *rows[:80]] if len(r[1] or "") < 5000]
+    got = Counter((r.doc_id, round(r.score, 5)) for r in toxicity.score(spark.createDataFrame(chosen, odd.schema), model).collect())
+    assert got == Counter((r[0], round(float(brute(r[1] or "")), 5)) for r in chosen)
+
+
+def test_toxicity_trains_within_its_bytes(spark, odd, toxic_rows):
+    rows, labels = toxic_rows
+    frame, truth = spark.createDataFrame(rows, odd.schema), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(frame, truth, most_bytes=20_000)
+    assert model.embeddings is not None and np.isfinite(model.embeddings).all()
+    assert toxicity.fit(frame, truth, most_bytes=10).embeddings is None
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd, none)
