@@ -53,7 +53,8 @@ UPDATES = 2
 STEP = 0.4
 STEEP = 3.0  # what a step's ratio is held below
 PRIOR = 60.0  # counts that hold a feature to the rates of all tokens
-CHUNK = 8192
+CHUNK = 1 << 16
+BLOCK = 1 << 10  # features of a class that are summed together
 MEMO = 300_000
 END = b""  # the end of a text; no word is empty
 
@@ -145,7 +146,7 @@ class Model:
         self.tokens, self.types = tokens, types
         self.key = uuid.uuid4().hex  # names it in the workers' caches
         self.intercepts = np.log(np.maximum(totals, 1e-9) / max(totals.sum(), 1e-9)).astype(np.float32)
-        self.weights = np.zeros((BUCKETS, CLASSES), np.float32)
+        self.weights = np.zeros((CLASSES, BUCKETS), np.float32)
 
     def class_of(self) -> np.ndarray:
         """The class of every word number."""
@@ -201,64 +202,69 @@ def events(texts: list[list[bytes]], numbers: _Numbers, class_of: np.ndarray) ->
 
 
 def class_odds(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unscaled P(class | features), a row for each event, and the rows' sums.
+    """Unscaled P(class | features), a row for each class and a column for each event, and the columns' sums.
 
-    Four weights within 6 of 0 and the intercepts keep these within a float's range.
+    Four weights within 6 of 0 and the intercepts keep these within a float's range. One class
+    after the other, so that what is gathered from stays in the processor's cache.
     """
-    odds = model.weights[features[0]]
-    for own in features[1:]:
-        odds += model.weights[own]
-    odds += model.intercepts
-    np.exp(odds, out=odds)
-    return odds, odds @ np.ones(CLASSES, np.float32)
+    odds, sums = np.empty((CLASSES, features.shape[1]), np.float32), np.zeros(features.shape[1], np.float32)
+    first, *rest = features.astype(np.intp)
+    for own, row, intercept in zip(odds, model.weights, model.intercepts, strict=True):
+        np.take(row, first, out=own, mode="clip")
+        for feature in rest:
+            own += row[feature]
+        own += intercept
+        np.exp(own, out=own)
+        sums += own
+    return odds, sums
 
 
 def gathered(docs: DataFrame, shared, weights, parts: int) -> np.ndarray:
-    """Over all training texts, how often each feature met each class; given weights, how often the model expects it to."""
+    """Over all training texts, how often each class met each feature; given weights, how often the model expects it to."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, numbers = shared.value, _numbers(shared)
         class_of = model.class_of()
+        sums = np.zeros((CLASSES, BUCKETS))
         if weights is not None:
             model.weights = weights.value
-        sums = np.zeros((BUCKETS, CLASSES), np.float32 if weights else np.float64)
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 flat, features, _ = events([words_of(t.as_py()) for t in batch.column(0).slice(at, 300)], numbers, class_of)
-                if weights is None:
-                    classes = class_of[flat].astype(np.int64)
-                    for own in features:
-                        sums += np.bincount(own.astype(np.int64) * CLASSES + classes, minlength=BUCKETS * CLASSES).reshape(sums.shape)
-                    continue
                 for a in range(0, len(flat), CHUNK):
                     f = features[:, a : a + CHUNK]
+                    if weights is None:
+                        places = class_of[flat[a : a + CHUNK]].astype(np.int64) * BUCKETS + f
+                        np.add.at(sums.reshape(-1), places.reshape(-1), 1.0)
+                        continue
                     law, totals = class_odds(model, f)
-                    law /= totals[:, None]
-                    for own in f:
-                        order = np.argsort(own, kind="stable")  # by counting, the features being short integers
-                        ranked = own[order]
-                        edges = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
-                        sums[ranked[edges]] += np.add.reduceat(law[order], edges)
-        seen = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(seen, pa.int32()), "sums": pa.array([r.tobytes() for r in sums[seen].astype(np.float32)], pa.binary())})
+                    np.divide(1, totals, out=totals)
+                    own = f.astype(np.intp)
+                    for into, odds in zip(sums, law, strict=True):
+                        share = (odds * totals).astype(np.float64)
+                        for feature in own:
+                            into += np.bincount(feature, share, BUCKETS)
+        rows = sums.astype(np.float32).reshape(-1, BLOCK)
+        seen = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"block": pa.array(seen, pa.int32()), "sums": pa.array([r.tobytes() for r in rows[seen]], pa.binary())})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for feature, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = np.frombuffer(own, np.float32).astype(np.float64)
-                if feature in sums:
-                    sums[feature] += row
+            for block, own in zip(*batch.columns, strict=True):
+                row, block = np.frombuffer(own.as_py(), np.float32).astype(np.float64), block.as_py()
+                if block in sums:
+                    sums[block] += row
                 else:
-                    sums[feature] = row
+                    sums[block] = row
         if sums:
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(list(sums), pa.int32()), "sums": pa.array([r.astype(np.float32).tobytes() for r in sums.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([r.astype(np.float32).tobytes() for r in sums.values()], pa.binary())})
 
-    partial = docs.select("text").mapInArrow(measure, "feature int, sums binary")
-    out = np.zeros((BUCKETS, CLASSES))
-    for r in partial.repartition(parts, "feature").mapInArrow(total, "feature int, sums binary").collect():  # at most BUCKETS rows
-        out[r["feature"]] = np.frombuffer(r["sums"], np.float32)
-    return out
+    partial = docs.select("text").mapInArrow(measure, "block int, sums binary")
+    out = np.zeros((CLASSES * BUCKETS // BLOCK, BLOCK))
+    for r in partial.repartition(parts, "block").mapInArrow(total, "block int, sums binary").collect():  # at most CLASSES * BUCKETS / BLOCK rows
+        out[r["block"]] = np.frombuffer(r["sums"], np.float32)
+    return out.reshape(CLASSES, BUCKETS)
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -288,9 +294,9 @@ def train(docs: DataFrame, heavy: int = HEAVY) -> tuple[Model, DataFrame]:
     shared = context.broadcast(model)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     learning = docs.where("not held_out")
-    rates = np.exp(model.intercepts)
+    rates = np.exp(model.intercepts)[:, None]
     met = gathered(learning, shared, None, parts)
-    due = met.sum(axis=1, keepdims=True) * rates
+    due = met.sum(axis=0) * rates
     for k in range(UPDATES):
         if k:
             due = gathered(learning, shared, context.broadcast(model.weights), parts)
@@ -329,7 +335,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
                 classes = class_of[flat].astype(np.int64)
                 for a in range(0, len(flat), CHUNK):
                     odds, sums = class_odds(model, features[:, a : a + CHUNK])
-                    gain[a : a + CHUNK] = np.log10(np.maximum(odds[np.arange(len(odds)), classes[a : a + CHUNK]] / sums, 1e-30))
+                    gain[a : a + CHUNK] = np.log10(np.maximum(odds[classes[a : a + CHUNK], np.arange(len(sums))] / sums, 1e-30))
                 gain -= share[flat]
                 seldom, times = [], []
                 for text, a, b in zip(texts, starts, starts[1:], strict=False):

@@ -57,9 +57,33 @@ def test_class_odds():
     assert starts.tolist() == [0, 3, 4, 10] and features.shape == (4, 10) and features.min() >= 0 and features.max() < language_model.BUCKETS
     model.weights = np.clip(model.weights, -6, 6)
     odds, sums = language_model.class_odds(model, features)
-    assert np.allclose(odds.sum(axis=1), sums, rtol=1e-4) and np.isfinite(sums).all() and (sums > 0).all()
-    brute = np.exp(sum(model.weights[f].astype(float) for f in features) + model.intercepts)
-    assert np.allclose(odds / sums[:, None], brute / brute.sum(axis=1, keepdims=True), atol=1e-5)
+    assert np.allclose(odds.sum(axis=0), sums, rtol=1e-4) and np.isfinite(sums).all() and (sums > 0).all()
+    brute = np.exp(sum(model.weights[:, f].astype(float) for f in features) + model.intercepts[:, None])
+    assert np.allclose(odds / sums, brute / brute.sum(axis=0), atol=1e-5)
+
+
+def test_sums_against_brute_force(spark, odd, odd_rows):
+    """What features and classes are met and expected, over all training texts, event by event."""
+    import numpy as np
+
+    docs = language_model.prepared(odd, "doc_id", "text")
+    model, _ = language_model.train(docs, heavy=200)
+    model.weights = np.random.default_rng(5).standard_normal(model.weights.shape).astype(np.float32)
+    context = spark.sparkContext
+    shared, weights, learning = context.broadcast(model), context.broadcast(model.weights), docs.where("not held_out")
+    met, due = language_model.gathered(learning, shared, None, 3), language_model.gathered(learning, shared, weights, 3)
+    numbers, class_of = language_model._Numbers(model.words), model.class_of()
+    want_met, want_due = np.zeros_like(met), np.zeros_like(due)
+    for r in odd_rows:
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            flat, features, _ = language_model.events([(r[1] or "").encode().lower().split()], numbers, class_of)
+            for token, own in zip(flat, features.T, strict=True):
+                logits = model.weights[:, own].astype(float).sum(axis=1) + model.intercepts
+                law = np.exp(logits) / np.exp(logits).sum()
+                for f in own:
+                    want_met[class_of[token], f] += 1
+                    want_due[:, f] += law
+    assert np.array_equal(met, want_met) and np.allclose(due, want_due, rtol=1e-3, atol=1e-3)
 
 
 def test_empty(empty):
