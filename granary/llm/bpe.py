@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.lexicon import Lexicon, compile_image
+from granary.llm.workers import held
 from granary.session import pinned
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -167,16 +168,9 @@ class Codec:
         return raw.decode("utf-8", "replace").encode()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, image: bytes) -> Codec:
     """This process's codec for a vocabulary and lexicon."""
-    key = (path, hashlib.md5(image).hexdigest())
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(Vocabulary(path), image)
-    return _CODECS[key]
+    return held(("codec", path, hashlib.md5(image).hexdigest()), lambda: Codec(Vocabulary(path), image))
 
 
 def lexicon_image(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> bytes:

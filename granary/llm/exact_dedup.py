@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.links import rejoin
 from granary.llm.rows import FEW, likeness, numbered, without
+from granary.llm.workers import release
 from granary.session import pinned
 
 SLOTS = 4
@@ -139,6 +140,7 @@ _ARROW = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id"
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each digest the row with the largest (id, likeness, file, index) stays live; sizes add up."""
+    release()
     index = CuckooIndex()
     for batch in batches:
         for digest, n_bytes, doc, like, file, number, size in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):

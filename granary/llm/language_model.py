@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.toxicity import remainder
+from granary.llm.workers import held
 from granary.session import pinned
 
 HEAVY = 1 << 20
@@ -168,15 +169,8 @@ class _Numbers(dict):
         return number
 
 
-_NUMBERS: dict = {}
-
-
 def _numbers(shared) -> _Numbers:
-    key = shared.value.key
-    if key not in _NUMBERS:
-        _NUMBERS.clear()
-        _NUMBERS[key] = _Numbers(shared.value.words)
-    return _NUMBERS[key]
+    return held(shared.value.key, lambda: _Numbers(shared.value.words))
 
 
 def events(texts: list[list[bytes]], numbers: _Numbers, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.links import Forest, blocked, by_group, components, near_pairs, rejoin
 from granary.llm.rows import likeness, numbered, without
+from granary.llm.workers import release
 from granary.session import pinned
 
 SHINGLE = 3
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text"
     schema = chosen.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*batch.schema.names[:-1], "fp"])

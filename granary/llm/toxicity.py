@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.workers import held
 from granary.session import pinned
 
 BUCKETS = 1 << 16
@@ -39,7 +40,7 @@ MOST_BYTES = 128 << 20
 THRESHOLD = 0.7
 EPOCHS = 20
 EDGES = ".,;:!?*#%&$\"'()[]{}<>|/\\-_=+~`^@…«»“”‘’¿¡"
-MEMO = 400_000
+MEMO = 200_000
 
 
 def grams(word: str) -> list[int]:
@@ -191,17 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score_texts(model, texts: pa.Array) -> list[float]:
-    key = model.value.key
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = model.value.scorer()
-    scorer = _SCORERS[key]
+    scorer = held(model.value.key, model.value.scorer)
     return [scorer.score(t.as_py() or "") for t in texts]
 
 
-_SCORERS: dict = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
