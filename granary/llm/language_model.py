@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +57,22 @@ STEEP = 3.0  # what a step's ratio is held below
 PRIOR = 60.0  # counts that hold a feature to the rates of all tokens
 CHUNK = 1 << 16
 BLOCK = 1 << 10  # features of a class that are summed together
-MEMO = 300_000
+TEXTS = 500  # taken apart at a time
 END = b""  # the end of a text; no word is empty
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, list[bytes], np.ndarray]:
+    """The words of some texts: which of the distinct words each is, these words, and how many each text has."""
+    whole = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+    trimmed = pc.ascii_lower(pc.ascii_trim_whitespace(whole))
+    lists = pc.ascii_split_whitespace(trimmed)
+    blank = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if blank.any():  # such a text gives one empty word
+        flat = flat.filter(pc.not_equal(pc.binary_length(flat), 0))
+        sizes[blank] = 0
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist(), sizes
 
 
 def suffix(word: bytes) -> int:
@@ -82,14 +93,21 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, other = Counter(), Counter()
-        for batch in batches:
-            for held, text in zip(batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
-                taken = other if held else known
-                taken.update(words_of(text.as_py()))
-                taken[END] += 1
-            if len(known) + len(other) > flush:
-                yield from emit(known, other)
-                known, other = Counter(), Counter()
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                held = np.array(batch.column("held_out").to_pylist(), bool)
+                which, words, sizes = tokens_of(batch.column("text"))
+                of = np.repeat(held, sizes)
+                for taken, chosen, ends in ((known, which[~of], (~held).sum()), (other, which[of], held.sum())):
+                    n = np.bincount(chosen, minlength=len(words))
+                    for k in np.flatnonzero(n).tolist():
+                        taken[words[k]] += int(n[k])
+                    if ends:
+                        taken[END] += int(ends)
+                if len(known) + len(other) > flush:
+                    yield from emit(known, other)
+                    known, other = Counter(), Counter()
         yield from emit(known, other)
 
     partial = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, every long")
@@ -163,25 +181,22 @@ class _Numbers(dict):
         self.known = len(words)
 
     def __missing__(self, word: bytes) -> int:
-        number = self.known + suffix(word) * RARE + (zlib.crc32(word) & (RARE - 1))
-        if len(self) < self.known + MEMO and len(word) <= 40:
-            self[word] = number
-        return number
+        return self.known + suffix(word) * RARE + (zlib.crc32(word) & (RARE - 1))
 
 
 def _numbers(shared) -> _Numbers:
     return held(shared.value.key, lambda: _Numbers(shared.value.words))
 
 
-def events(texts: list[list[bytes]], numbers: _Numbers, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all tokens of some texts, their hashed features, and where each text begins."""
-    sizes = np.array([len(t) + 1 for t in texts])
+def events(which: np.ndarray, words: list[bytes], sizes: np.ndarray, numbers: _Numbers, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all tokens of some texts (see :func:`tokens_of`), their hashed features, and where each text begins."""
+    sizes = sizes + 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
     end = numbers[END]
-    flat = np.empty(starts[-1], np.int32)
-    for text, a, b in zip(texts, starts, starts[1:], strict=False):
-        flat[a : b - 1] = np.fromiter(map(numbers.__getitem__, text), np.int32, len(text))
-        flat[b - 1] = end
+    flat = np.full(starts[-1], end, np.int32)
+    inner = np.ones(len(flat), bool)
+    inner[starts[1:] - 1] = False
+    flat[inner] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))[which]
     place = np.arange(len(flat), dtype=np.int32) - np.repeat(starts[:-1].astype(np.int32), sizes)  # within its text
     back = []
     for k in (1, 2, 3, 4):
@@ -223,8 +238,8 @@ def gathered(docs: DataFrame, shared, weights, parts: int) -> np.ndarray:
         if weights is not None:
             model.weights = weights.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                flat, features, _ = events([words_of(t.as_py()) for t in batch.column(0).slice(at, 300)], numbers, class_of)
+            for at in range(0, batch.num_rows, TEXTS):
+                flat, features, _ = events(*tokens_of(batch.column(0).slice(at, TEXTS)), numbers, class_of)
                 for a in range(0, len(flat), CHUNK):
                     f = features[:, a : a + CHUNK]
                     if weights is None:
@@ -321,21 +336,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
         share = np.log10(np.maximum(model.totals, 1e-300))[class_of]
         heard = np.append(model.counts > 0, np.zeros(SUFFIXES * RARE, bool))
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                texts = [words_of(t.as_py()) for t in part.column(3)]
-                flat, features, starts = events(texts, numbers, class_of)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                which, words, sizes = tokens_of(part.column(3))
+                flat, features, starts = events(which, words, sizes, numbers, class_of)
                 gain = np.empty(len(flat))
                 classes = class_of[flat].astype(np.int64)
                 for a in range(0, len(flat), CHUNK):
                     odds, sums = class_odds(model, features[:, a : a + CHUNK])
                     gain[a : a + CHUNK] = np.log10(np.maximum(odds[classes[a : a + CHUNK], np.arange(len(sums))] / sums, 1e-30))
                 gain -= share[flat]
-                seldom, times = [], []
-                for text, a, b in zip(texts, starts, starts[1:], strict=False):
-                    found = Counter(text[i] for i in np.flatnonzero(flat[a : b - 1] >= known))
-                    seldom.append(list(found))
-                    times.append(list(found.values()))
+                # Each text's rarer words and how often it has them.
+                seldom = np.array([numbers.get(w) is None for w in words], bool)[which] if words else np.zeros(0, bool)
+                met, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[seldom] * np.int64(len(words) + 1) + which[seldom], return_counts=True)
+                edges = pa.array(np.searchsorted(met, np.arange(len(sizes) + 1) * np.int64(len(words) + 1)), pa.int32())
+                named = pa.array(words, pa.binary()).take(pa.array(met % (len(words) + 1), pa.int64()))
                 at_starts = starts[:-1]
                 base = np.add.reduceat(inside[flat], at_starts)
                 yield pa.RecordBatch.from_arrays(
@@ -343,7 +358,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
                         part.column(0), part.column(1), part.column(2),
                         pa.array(np.diff(starts), pa.int64()), pa.array(np.add.reduceat(heard[flat].astype(np.int64), at_starts), pa.int64()),
                         pa.array(base, pa.float64()), pa.array(np.add.reduceat(gain, at_starts), pa.float64()),
-                        pa.array(seldom, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(edges, named), pa.ListArray.from_arrays(edges, pa.array(times, pa.int32())),
                     ],
                     schema=schema,
                 )

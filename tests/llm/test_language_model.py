@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from granary.llm import language_model
@@ -12,6 +13,15 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), None]
 
 
+def test_tokens_are_the_words():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aBÉ \t\n\r\x0b\x0c\x1c\x85\u3000z") for _ in range(rng.randrange(12))).encode() for _ in range(400)] + [b"", b" ", b"\xff \xfe"]
+    for at in (0, 7):
+        which, words, sizes = language_model.tokens_of(pa.array(texts)[at:])
+        flat, ends = [words[k] for k in which], [0, *sizes.cumsum().tolist()]
+        assert [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)] == [t.lower().split() for t in texts[at:]]
+
+
 def brute(rows):
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
     counts = Counter(t for r, h in zip(rows, held, strict=True) if not h for t in tokens(r[1]))
@@ -53,7 +63,7 @@ def test_class_odds():
     assert len(classes) == len(words) + language_model.SUFFIXES and classes.min() >= 0 and classes.max() < language_model.CLASSES
     model = language_model.Model(words, counts, classes, np.bincount(classes, minlength=language_model.CLASSES) + 0.5, 10, 5)
     model.weights = np.random.default_rng(1).standard_normal(model.weights.shape).astype(np.float32)
-    flat, features, starts = language_model.events([[b"the", b"zz"], [], [b"of"] * 5], language_model._Numbers(words), model.class_of())
+    flat, features, starts = language_model.events(*language_model.tokens_of(pa.array([b" The\tzz", b"", b"of of of of of "])), language_model._Numbers(words), model.class_of())
     assert starts.tolist() == [0, 3, 4, 10] and features.shape == (4, 10) and features.min() >= 0 and features.max() < language_model.BUCKETS
     model.weights = np.clip(model.weights, -6, 6)
     odds, sums = language_model.class_odds(model, features)
@@ -76,7 +86,7 @@ def test_sums_against_brute_force(spark, odd, odd_rows):
     want_met, want_due = np.zeros_like(met), np.zeros_like(due)
     for r in odd_rows:
         if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
-            flat, features, _ = language_model.events([(r[1] or "").encode().lower().split()], numbers, class_of)
+            flat, features, _ = language_model.events(*language_model.tokens_of(pa.array([(r[1] or "").encode()])), numbers, class_of)
             for token, own in zip(flat, features.T, strict=True):
                 logits = model.weights[:, own].astype(float).sum(axis=1) + model.intercepts
                 law = np.exp(logits) / np.exp(logits).sum()
