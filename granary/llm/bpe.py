@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.lexicon import Lexicon, compile_image
-from granary.llm.workers import Recent, held
+from granary.llm.workers import held
 from granary.session import pinned
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -114,15 +114,29 @@ def _merge_long(parts: list, merged) -> list[int]:
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
+class _Memo(dict):
+    """Ids, packed as little-endian 32-bit integers, of recent pieces; bounded."""
+
+    def __init__(self, encode, head: str):
+        super().__init__()
+        self.encode, self.head = encode, head
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.encode(self.head + piece)
+        if len(piece) <= LONGEST_LEXICON_PIECE:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Codec:
     """Encodes and decodes texts; one per worker process."""
 
     def __init__(self, vocabulary: Vocabulary, image: bytes):
         self.vocabulary, self.lexicon = vocabulary, Lexicon(image)
         self.find = regex.compile(PATTERN).findall
-        # Ids, packed as little-endian 32-bit integers, of recent pieces.
-        self.spaced = Recent(lambda piece: self._pieces(" " + piece), MEMO, LONGEST_LEXICON_PIECE)
-        self.bare = Recent(self._pieces, MEMO, LONGEST_LEXICON_PIECE)
+        self.spaced, self.bare = _Memo(self._pieces, " "), _Memo(self._pieces, "")
         self.special = re.compile("|".join(map(re.escape, vocabulary.special))) if vocabulary.special else None
 
     def _pieces(self, piece: str) -> bytes:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.workers import Recent, held
+from granary.llm.workers import held
 from granary.session import pinned
 
 BUCKETS = 1 << 16
@@ -72,20 +72,28 @@ class Model:
         return Scorer(self)
 
 
-class Scorer:
+class Scorer(dict):
     """Log-odds of words, of which a bounded number are kept."""
 
     def __init__(self, model: Model):
-        self.word_odds = Recent(lambda word: float(self.odds[grams(word)].mean()), MEMO)
+        super().__init__()
         self.prior = model.prior
         self.odds = None if model.embeddings is None else (model.embeddings @ (model.weights[:, 1] - model.weights[:, 0])).astype(np.float64)
         self.base = 0.0 if model.embeddings is None else float(model.intercepts[1] - model.intercepts[0])
 
+    def __missing__(self, word: str) -> float:
+        value = float(self.odds[grams(word)].mean())
+        if len(word) <= 40:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = value
+        return value
+
     def score(self, text: str) -> float:
         words = words_of(text) if self.odds is not None else []
         if not words:
             return self.prior
-        odds = np.fromiter(map(self.word_odds.__getitem__, words), np.float64, len(words))
+        odds = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
         starts = bounds(len(words))
         means = np.add.reduceat(odds, starts) / np.diff(np.append(starts, len(words)))
         return float(1 / (1 + np.exp(-np.clip(means.max() + self.base, -30, 30))))

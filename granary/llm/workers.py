@@ -22,26 +22,3 @@ def held(key, make: Callable):
 def release() -> None:
     """Give up what is held: for operators that hold nothing themselves."""
     _HELD.clear()
-
-
-class Recent(dict):
-    """``make(key)`` of recently used keys: about ``most`` of them in two generations.
-
-    When the younger is full the older goes; what is used again in time moves on.
-    Longer keys than ``longest`` aren't kept.
-    """
-
-    def __init__(self, make: Callable, most: int, longest: int = 40):
-        super().__init__()
-        self.make, self.most, self.longest, self.old = make, most // 2, longest, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
