@@ -40,7 +40,7 @@ MOST_BYTES = 128 << 20
 THRESHOLD = 0.7
 EPOCHS = 20
 EDGES = ".,;:!?*#%&$\"'()[]{}<>|/\\-_=+~`^@…«»“”‘’¿¡"
-MEMO = 200_000
+MEMO = 400_000
 
 
 def grams(word: str) -> list[int]:
