@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +60,8 @@ TEXTS = 500  # taken apart at a time
 END = b""  # the end of a text; no word is empty
 
 
-def tokens_of(texts: pa.Array) -> tuple[pa.Array, list[bytes], np.ndarray]:
-    """The words of some texts: which of the distinct words each is, these words, and how many each text has."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts (bytes), and how many each text has."""
     whole = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
     trimmed = pc.ascii_lower(pc.ascii_trim_whitespace(whole))
     lists = pc.ascii_split_whitespace(trimmed)
@@ -71,6 +70,12 @@ def tokens_of(texts: pa.Array) -> tuple[pa.Array, list[bytes], np.ndarray]:
     if blank.any():  # such a text gives one empty word
         flat = flat.filter(pc.not_equal(pc.binary_length(flat), 0))
         sizes[blank] = 0
+    return flat, sizes
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Which of the distinct words each word of some texts is, these words, and how many words each text has."""
+    flat, sizes = split_words(texts)
     coded = flat.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist(), sizes
 
@@ -79,36 +84,38 @@ def suffix(word: bytes) -> int:
     return zlib.crc32(word[-3:]) & (SUFFIXES - 1)
 
 
-def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
-    """(word, c, every): counts among training texts and among all, ends included."""
+def count_words(docs: DataFrame, flush: int = 2_000_000) -> DataFrame:
+    """(word, c, every): counts among training texts and among all, ends included; ``flush`` tokens are counted at a time."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("every", pa.int64())])
 
-    def emit(known: Counter, other: Counter) -> Iterator[pa.RecordBatch]:
-        for taken, sign in ((known, 1), (other, 0)):
-            words = list(taken)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                n = pa.array([taken[w] for w in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), n if sign else pa.array(np.zeros(len(part), np.int64)), n], schema=schema)
+    def emit(held: list[tuple[pa.Array, int]], training: bool) -> Iterator[pa.RecordBatch]:
+        ends = sum(n for _, n in held)
+        if not ends:
+            return
+        found = pc.value_counts(pa.chunked_array([words for words, _ in held], pa.string()))
+        words, n = found.field("values").cast(pa.binary()), found.field("counts").cast(pa.int64())
+        words, n = pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([ends], pa.int64())])
+        whole = pa.RecordBatch.from_arrays([words, n if training else pa.array(np.zeros(len(n), np.int64)), n], schema=schema)
+        for at in range(0, whole.num_rows, 50_000):
+            yield whole.slice(at, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other = Counter(), Counter()
+        known, other, n = [], [], 0
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
                 held = np.array(batch.column("held_out").to_pylist(), bool)
-                which, words, sizes = tokens_of(batch.column("text"))
+                flat, sizes = split_words(batch.column("text"))
                 of = np.repeat(held, sizes)
-                for taken, chosen, ends in ((known, which[~of], (~held).sum()), (other, which[of], held.sum())):
-                    n = np.bincount(chosen, minlength=len(words))
-                    for k in np.flatnonzero(n).tolist():
-                        taken[words[k]] += int(n[k])
-                    if ends:
-                        taken[END] += int(ends)
-                if len(known) + len(other) > flush:
-                    yield from emit(known, other)
-                    known, other = Counter(), Counter()
-        yield from emit(known, other)
+                known.append((flat.filter(pa.array(~of)), int((~held).sum())))
+                other.append((flat.filter(pa.array(of)), int(held.sum())))
+                n += len(flat)
+                if n > flush:
+                    yield from emit(known, True)
+                    yield from emit(other, False)
+                    known, other, n = [], [], 0
+        yield from emit(known, True)
+        yield from emit(other, False)
 
     partial = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, every long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
