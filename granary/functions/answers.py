@@ -87,6 +87,12 @@ def gsm8k(text: Column, strict: bool) -> Column:
     return F.coalesce(F.try_element_at(good, F.lit(-1)), F.try_element_at(found, F.lit(1)))
 
 
+def gsm8k_score(text: Column, truth: Column, strict: bool = True, form: float = 0.0, score: float = 1.0) -> Column:
+    """0 without an answer, ``score`` if it is the truth, else ``form``."""
+    answer = gsm8k(text, strict)
+    return F.when(answer.isNull(), 0.0).when(answer == truth, score).otherwise(F.lit(float(form)))
+
+
 def qa_normal(text: Column) -> Column:
     """Lower case, no punctuation, no articles, single spaces, in this order."""
     bare = F.regexp_replace(F.lower(text), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]""", "")

@@ -101,7 +101,9 @@ def quantity(text: Column) -> Column:
     text = F.regexp_replace(text, r"\^ *\\circ", "")
     text = F.regexp_replace(text, r"(?s)\A\{(.*)\}\z", "$1")
     text = F.regexp_replace(text, r",\\! *", "")
-    text = F.regexp_replace(text, r"\A\s*([+-]?[0-9]+)\.0*\s*\z", "$1")
+    number = F.trim(text).try_cast("double")
+    whole = (F.abs(number - F.rint(number)) <= 1e-7) & (F.abs(number) < 1e37) & ~F.trim(text).rlike(r"[dDfF]\z")
+    text = F.when(whole, F.rint(number).cast("decimal(38,0)").cast("string")).otherwise(text)
     text = F.regexp_replace(text, "- *", "-")
     text = F.lower(F.regexp_replace(text, "([0-9]) +([0-9])", "$1+$2"))
     return F.when(text.rlike(r"\A\s*-?[0-9]{1,3}(,[0-9]{3})+\s*\z"), F.trim(F.replace(text, F.lit(","), F.lit("")))).otherwise(text)

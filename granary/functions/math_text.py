@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Notations without meaning, removed or replaced in this order.
-DROPPED = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$", "\\%", "%")
-REPLACED = (("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), (" .", " 0."), ("{.", "{0."))
+# What notation is replaced by what, in this order.
+NOTATIONS = (
+    ("\n", ""),
+    ("\\!", ""),
+    ("\\\\", "\\"),
+    ("tfrac", "frac"),
+    ("dfrac", "frac"),
+    ("\\left", ""),
+    ("\\right", ""),
+    ("^{\\circ}", ""),
+    ("^\\circ", ""),
+    ("\\$", ""),
+)
+# The same, once units at the right are cut.
+AFTER_UNITS = (("\\%", ""), (" .", " 0."), ("{.", "{0."))
 
 
 def boxed(text: Column) -> Column:
@@ -28,23 +40,19 @@ def boxed(text: Column) -> Column:
 
 def notation(text: Column) -> Column:
     """One spelling of equal notations."""
-    for token in DROPPED[:1]:
-        text = F.replace(text, F.lit(token), F.lit(""))
-    for old, new in REPLACED[:3]:
+    for old, new in NOTATIONS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    for token in DROPPED[1:]:
-        text = F.replace(text, F.lit(token), F.lit(""))
-    text = F.regexp_replace(text, r"\\text\{ .*$", "")
-    for old, new in REPLACED[3:]:
+    text = F.regexp_replace(text, r"(?s)\\text\{ .*\z", "")
+    for old, new in AFTER_UNITS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    text = F.regexp_replace(text, r"^\.", "0.")
-    text = F.regexp_replace(text, r"^.{0,2}=([^=]+)$", "$1")
-    text = F.regexp_replace(text, r"\\sqrt([^{\s])", r"\\sqrt{$1}")
+    text = F.regexp_replace(text, r"\A\.", "0.")
+    text = F.regexp_replace(text, r"(?s)\A[^=]{0,2}=([^=]*)\z", "$1")
+    text = F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}")
     text = F.replace(text, F.lit(" "), F.lit(""))
     text = F.regexp_replace(text, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
     text = F.regexp_replace(text, r"\\frac([^{])\{", r"\\frac{$1}{")
     text = F.when(text == "0.5", "\\frac{1}{2}").otherwise(text)
-    return F.regexp_replace(text, r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}")
+    return F.regexp_replace(text, r"\A(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)\z", r"\\frac{$1}{$2}")
 
 
 def equal(left: Column, right: Column) -> Column:

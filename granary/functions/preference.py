@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.tokens import masked_sum, total
-from granary.operators.advantages import reverse_scan
+from granary.functions.scans import reverse_scan
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -52,7 +52,7 @@ def implicit_reward(logp: Column, ref: Column, valid: Column, beta: float) -> Co
 
 def batch_norm(rows: DataFrame, values: str) -> DataFrame:
     """Divide by the batch's largest absolute reverse running sum."""
-    sums = F.array_max(F.transform(reverse_scan(F.col(values), lambda carry, x: carry + x), F.abs))
+    sums = F.array_max(F.transform(reverse_scan(F.col(values)), F.abs))
     top = rows.agg(F.max(sums).alias("_top"))
     met = rows.crossJoin(F.broadcast(top))  # one row
     return met.withColumn(values, F.transform(values, lambda x: x / (F.col("_top") + 1e-6))).drop("_top")

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.scans import reverse_scan
+from granary.functions.tokens import masked_sum, total
+from granary.operators.batch import with_row_id
+from granary.session import pinned
+
 EPS = 1e-6
 
 
@@ -55,22 +60,31 @@ def centred(rows: DataFrame, uid: str = "uid", score: str = "score") -> DataFram
 def whiten(rows: DataFrame, value: str, weight: str, shift: bool = True) -> DataFrame:
     """(v - mean) / sqrt(var + 1e-8) over all valid tokens, a row standing for ``weight`` equal tokens.
 
-    The two global sums are one row, joined back to every row.
+    The mean first, then the squares about it, each a sum in one row that is joined back to
+    every row. Weights that sum to 0 or 1 have no variance and raise an error.
     """
     w, v = F.col(weight), F.col(value)
-    sums = rows.agg(F.sum(w).alias("_n"), F.sum(w * v).alias("_s"), F.sum(w * v * v).alias("_q"))
-    mean = F.col("_s") / (F.col("_n") + 1e-8)
-    spread = (F.col("_q") - 2 * mean * F.col("_s") + mean * mean * F.col("_n")) / (F.col("_n") + 1e-8)
-    stats = sums.select(mean.alias("_mean"), (spread * F.col("_n") / (F.col("_n") - 1)).alias("_var"))
+    sums = rows.agg(F.coalesce(F.sum(w), F.lit(0)).cast("double").alias("_n"), F.sum(w * v).alias("_s"))
+    means = sums.select("_n", (F.col("_s") / (F.col("_n") + 1e-8)).alias("_mean"))
+    about = rows.crossJoin(F.broadcast(means)).agg(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_q"))
+    spread = F.col("_q") / (F.col("_n") + 1e-8) * F.col("_n") / (F.col("_n") - 1)
+    known = F.when(F.col("_n").isin(0.0, 1.0), F.raise_error(F.lit("whitening needs more than one valid token")).cast("double")).otherwise(spread)
+    stats = means.crossJoin(F.broadcast(about)).select("_mean", known.alias("_var"))
     met = rows.crossJoin(F.broadcast(stats))  # one row
     scaled = (v - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8)
     return met.withColumn("advantage", scaled if shift else scaled + F.col("_mean")).drop("_mean", "_var")
 
 
-def reverse_scan(values: Column, step) -> Column:
-    """Fold an array from its end; ``step(carry, value)`` gives each place's carry. In array order."""
-    start = F.array().cast("array<double>")
-    return F.reverse(F.aggregate(F.reverse(values), start, lambda acc, x: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)), x)))))
+def whiten_arrays(rows: DataFrame, values: str, mask: str) -> DataFrame:
+    """:func:`whiten` over the tokens of array columns, in place."""
+    sums = rows.agg(F.coalesce(F.sum(total(F.col(mask))), F.lit(0.0)).alias("_n"), F.sum(masked_sum(F.col(values), F.col(mask))).alias("_s"))
+    means = sums.select("_n", (F.col("_s") / (F.col("_n") + 1e-8)).alias("_mean"))
+    squares = F.transform(values, lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))
+    about = rows.crossJoin(F.broadcast(means)).agg(F.sum(masked_sum(squares, F.col(mask))).alias("_q"))
+    spread = F.col("_q") / (F.col("_n") + 1e-8) * F.col("_n") / (F.col("_n") - 1)
+    known = F.when(F.col("_n").isin(0.0, 1.0), F.raise_error(F.lit("whitening needs more than one valid token")).cast("double")).otherwise(spread)
+    met = rows.crossJoin(F.broadcast(means.crossJoin(F.broadcast(about)).select("_mean", known.alias("_var"))))  # one row
+    return met.withColumn(values, F.transform(values, lambda x: (x - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8))).drop("_mean", "_var")
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
@@ -78,18 +92,31 @@ def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     n = F.size(values)
     after = F.concat(F.slice(values, F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(F.lit(0.0)))
     deltas = F.zip_with(F.zip_with(rewards, after, lambda r, v: r + gamma * v), values, lambda r, v: r - v)
-    return reverse_scan(deltas, lambda carry, d: d + gamma * lam * carry)
+    return reverse_scan(deltas, gamma * lam)
+
+
+def gae_advantages(rows: DataFrame, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """Add ``advantage``, whitened over the mask, and ``returns``, advantages before whitening plus values."""
+    found = pinned(rows.withColumn("advantage", gae(F.col(rewards), F.col(values), gamma, lam)))
+    found = found.withColumn("returns", F.zip_with("advantage", values, lambda a, v: a + v))
+    return whiten_arrays(found, "advantage", mask)
 
 
 def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
-    """Reverse discounted returns whose running value is masked after each place."""
-    pairs = F.zip_with(rewards, mask, lambda r, m: F.struct(r.alias("r"), m.alias("m")))
-    return reverse_scan(pairs, lambda carry, x: (x["r"] + gamma * carry) * x["m"])
+    """Reverse discounted returns; what is carried on is masked at each place."""
+    return reverse_scan(rewards, gamma, mask)
+
+
+def discounted_advantages(rows: DataFrame, rewards: str, mask: str, gamma: float) -> DataFrame:
+    """Add ``returns``, discounted, and ``advantage``, the same whitened over the mask and zero outside."""
+    found = pinned(rows.withColumn("returns", discounted(F.col(rewards), F.col(mask), gamma)))
+    found = whiten_arrays(found.withColumn("advantage", F.col("returns")), "advantage", mask)
+    return found.withColumn("advantage", F.zip_with("advantage", mask, lambda a, m: a * m + 0.0))  # no negative zero
 
 
 def remax(rewards: Column, mask: Column, baseline: Column) -> Column:
     """Reverse sums of the masked rewards, less the masked baseline."""
-    returns = reverse_scan(F.zip_with(rewards, mask, lambda r, m: r * m), lambda carry, x: x + carry)
+    returns = reverse_scan(F.zip_with(rewards, mask, lambda r, m: r * m))
     return F.zip_with(returns, mask, lambda r, m: r - baseline * m)
 
 
@@ -127,7 +154,11 @@ def filter_thresholds(rows: DataFrame, persist: float, upper: float, lower: floa
 
 
 def filter_band(rows: DataFrame, low: float, high: float, longest: int, keep: int, order: str, uid: str = "uid", score: str = "score", length: str = "length") -> DataFrame:
-    """Groups inside the band and below the length limit come first; the first ``keep`` rows stay."""
+    """Groups inside the band and below the length limit come first; the first ``keep`` rows stay.
+
+    The rows are numbered over a range sort, so no task holds more than its range.
+    """
     group = Window.partitionBy(uid)
     demoted = ~F.avg(score).over(group).between(low, high) | (F.max(length).over(group) >= longest - 1)
-    return rows.withColumn("_demoted", demoted.cast("int")).orderBy("_demoted", uid, order).limit(keep).drop("_demoted")
+    numbered = with_row_id(rows.withColumn("_demoted", demoted.cast("int")), "_demoted", uid, order)
+    return numbered.where(F.col("row_id") < keep).select(*rows.columns)

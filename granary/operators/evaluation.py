@@ -7,9 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.tokens import total
+
 CONSISTENCY, AVERAGE, MAXIMUM = 0.25, 0.2, 0.55  # fixed weights of the fusion
 
 
@@ -105,3 +107,53 @@ def bootstrap(votes: DataFrame, source: str, prompt: str, value: str, pos: str,
 
     each = held.select(source, "rows").mapInArrow(run, f"`{source}` {kind}, n int, " + ", ".join(f"{c} double" for c in columns[1:]))
     return each.groupBy(source, "n").agg(*[F.avg(c).alias(c) for c in columns[1:]])
+
+
+def spread_of(values: Column, prefix: str) -> list[Column]:
+    """Mean, maximum and minimum."""
+    return [F.avg(values).alias(f"{prefix}_mean"), F.max(values).alias(f"{prefix}_max"), F.min(values).alias(f"{prefix}_min")]
+
+
+def data_metrics(rows: DataFrame, scores: str, rewards: str, advantages: str, returns: str, mask: str, prompt_mask: str, values: str | None = None) -> DataFrame:
+    """One row: means, maxima and minima of a batch's sequence scores and rewards, of the advantages, returns and
+    values of valid tokens, of response and prompt lengths with the shares at the full width, and the explained
+    variance of the returns (both last only with ``values``).
+    """
+    parts = [F.col(scores).alias("s"), F.col(rewards).alias("w"), F.col(mask).alias("m"), F.col(prompt_mask).alias("p"), F.col(advantages).alias("a"), F.col(returns).alias("t")]
+    rows = rows.select(*parts, *([F.col(values).alias("v")] if values else []))
+    whole = rows.select(total(F.col("s")).alias("score"), total(F.col("w")).alias("reward"), total(F.col("m")).alias("response"), F.size("m").alias("wide"), total(F.col("p")).alias("prompt"), F.size("p").alias("prompt_wide"))
+    full = lambda n, wide, name: F.avg((F.col(n) == F.col(wide)).cast("int")).alias(name)
+    columns = [*spread_of(F.col("score"), "score"), *spread_of(F.col("reward"), "reward"), *spread_of(F.col("response"), "response_length"), full("response", "wide", "response_length_clipped")]
+    sequences = whole.agg(*columns, *spread_of(F.col("prompt"), "prompt_length"), full("prompt", "prompt_wide", "prompt_length_clipped"))
+    places = rows.select(F.explode(F.arrays_zip("m", "a", "t", *(["v"] if values else []))).alias("e")).where("e.m != 0")
+    columns = [*spread_of(F.col("e.a"), "advantage"), *spread_of(F.col("e.t"), "return")]
+    if values:
+        explained = 1 - F.var_samp(F.col("e.t") - F.col("e.v")) / (F.var_samp("e.t") + 1e-5)
+        columns += [*spread_of(F.col("e.v"), "value"), explained.alias("explained_variance")]
+    return sequences.crossJoin(F.broadcast(places.agg(*columns)))  # one row each
+
+
+def timing_metrics(stages: DataFrame, stage: str, seconds: str, tokens: int | Column, response_tokens: int | Column, generating: tuple = ("gen",), whole: tuple = ("ref", "values", "adv", "update_critic", "update_actor")) -> DataFrame:
+    """Per stage its seconds and milliseconds a token: of the response for generating stages, of all tokens for ``whole`` ones, else null."""
+    of = F.when(F.col(stage).isin(*generating), response_tokens).when(F.col(stage).isin(*whole), tokens)
+    return stages.select(F.col(stage).alias("stage"), F.col(seconds).alias("seconds"), (F.col(seconds) * 1000 / of).alias("ms_per_token"))
+
+
+def reduced(rows: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """Per name the maximum, minimum or mean of its values, as the name says."""
+    picked = F.when(F.col(name).contains("max"), F.max(value)).when(F.col(name).contains("min"), F.min(value)).otherwise(F.avg(value))
+    return rows.groupBy(name).agg(picked.alias(value))
+
+
+def metric_names(rows: DataFrame, source: str, variable: str, metric: str, core: str = "acc") -> DataFrame:
+    """Add ``name``: val-core for the core variable's mean, maj and best at the largest number of its source, else val-aux.
+
+    The number is what stands behind the metric's ``@``; the core variable is ``core`` where the
+    source has it, else ``reward``.
+    """
+    number = F.coalesce(F.regexp_extract(metric, r"@([0-9]+)[^@]*\z", 1).try_cast("int"), F.lit(0))
+    one = Window.partitionBy(source, variable)
+    known = F.max((F.col(variable) == core).cast("int")).over(Window.partitionBy(source))
+    marked = rows.withColumns({"_most": F.max(number).over(one), "_core": F.when(known == 1, F.lit(core)).otherwise("reward")})
+    top = (F.col(variable) == F.col("_core")) & F.col(metric).rlike("^(mean|maj|best)") & F.col(metric).contains(F.concat(F.lit("@"), F.col("_most")))
+    return marked.withColumn("name", F.concat_ws("/", F.when(top, "val-core").otherwise("val-aux"), source, variable, metric)).drop("_most", "_core")

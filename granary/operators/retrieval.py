@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,23 +28,50 @@ def mean_pool(vectors: DataFrame, group: str, vector: str, size: int) -> DataFra
     return vectors.groupBy(group).agg(F.array(*means).alias(vector))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, block: int = 256, most: int = 8_000_000) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k largest inner products, ties to the smaller id.
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, most: int = 4_000_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k largest inner products, ties (to 12 places) to the smaller id.
 
-    Queries are a stated set, dealt into blocks of ``block``; each partition of the corpus keeps
-    its own k best before the blocks' winners meet. Queries of up to ``most`` numbers in all
-    (64 MB) are broadcast; beyond that blocks meet partitions as a product that holds one of each.
+    Queries are a stated set, taken in blocks of at most ``most`` numbers (32 MB), each a matrix that
+    is broadcast and meets the corpus batch by batch. A partition keeps its own k best for each query.
     """
-    spread = corpus.select(F.col(doc_id), F.col(vector).cast("array<double>").alias("_d")).withColumn("_part", F.spark_partition_id())
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(1 << 20)).alias("_h"))
-    blocks = asked.groupBy(F.floor(F.col("_h") / block).alias("_b")).agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
-    numbers = asked.agg(F.sum(F.size("_q"))).first()[0] or 0
-    met = spread.join(F.broadcast(blocks)) if numbers <= most else spread.hint("shuffle_replicate_nl").join(blocks)
-    scored = met.select(doc_id, "_part", "_d", F.explode("_qs").alias("_x")).select("_x.query_id", doc_id, "_part", dot(F.col("_x._q"), F.col("_d")).alias("score"))
-    order = [F.desc("score"), F.asc(doc_id)]
-    near = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return best.select("query_id", doc_id, "score", "rank")
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    numbers = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-numbers // max(most, 1)))
+    spread = corpus.select(F.col(doc_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    best = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about `most` numbers
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)))
+        found = spread.mapInArrow(_nearest(shared, k), "query_id long, id long, score double")
+        best = found if best is None else best.unionByName(found)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("id").alias(doc_id), "score", "rank")
+
+
+def _nearest(shared, k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, points = shared.value
+        if not len(asked):
+            return
+        query, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                met = np.round(np.array(batch.column(1).to_pylist(), float) @ points.T, 12)
+                bar = np.partition(met, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(asked), -np.inf)
+                row, column = np.nonzero(met >= bar)  # k of each query, and ties
+                query, ids, scores = np.concatenate([query, column]), np.concatenate([ids, own[row]]), np.concatenate([scores, met[row, column]])
+                order = np.lexsort((ids, -scores, query))
+                query, ids, scores = query[order], ids[order], scores[order]
+                begins = np.searchsorted(query, query, side="left")
+                kept = np.arange(len(query)) - begins < k
+                query, ids, scores = query[kept], ids[kept], scores[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(asked[query]), pa.array(ids), pa.array(scores)], schema=schema)
+
+    return run
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:

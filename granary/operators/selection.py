@@ -65,3 +65,8 @@ def adaptive_kl(steps: DataFrame, step: str, kl: str, n: str, start: float, targ
     run = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grown = F.sum(F.log(1 + error * F.col(n) / horizon)).over(run)
     return steps.select(step, (start * F.exp(grown)).alias("beta"))
+
+
+def date_range(rows: DataFrame, at: str, first: str, end: str) -> DataFrame:
+    """Rows of the days from ``first`` up to and without ``end``; timestamps are compared, so that scans can skip files."""
+    return rows.where((F.col(at) >= F.lit(first).cast("timestamp")) & (F.col(at) < F.lit(end).cast("timestamp")))

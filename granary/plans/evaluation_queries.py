@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import balance, evaluation, retrieval
+from granary.operators import balance, evaluation, retrieval, selection
 from granary.plans.catalog import ROLLOUTS, VOTES, query, r6, rollouts, table, votes
 
 WITH = f"WITH {VOTES} "
@@ -34,28 +34,37 @@ def score_by_source(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("data_source")).agg(r6(F.avg("value"), "score"), F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT o_orderpriority AS stage, sum(o_totalprice) AS seconds FROM orders GROUP BY 1), n AS (SELECT sum(l_quantity) AS tokens FROM lineitem) SELECT stage, round(seconds, 6) AS seconds, round(seconds * 1000 / tokens, 6) AS ms_per_token, round(tokens / (seconds * 8), 6) AS throughput FROM t, n")
+STAGES = ("gen", "ref", "values", "adv", "testing")
+
+
+@query("""WITH t AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'gen' WHEN 1 THEN 'ref' WHEN 2 THEN 'values' WHEN 3 THEN 'adv' ELSE 'testing' END AS stage, sum(o_totalprice) AS seconds FROM orders GROUP BY 1),
+    n AS (SELECT sum(l_quantity) AS tokens, sum(l_linenumber) AS responses FROM lineitem)
+    SELECT stage, round(seconds, 6) AS seconds, round(seconds * 1000 / CASE WHEN stage = 'gen' THEN responses WHEN stage <> 'testing' THEN tokens END, 6) AS ms_per_token, round(tokens / (seconds * 8), 6) AS throughput FROM t, n""")
 def timing_metrics(spark, sf_dir):
-    stages = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stage")).agg(F.sum("o_totalprice").alias("seconds"))
-    total = table(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").alias("tokens"))
-    met = stages.crossJoin(F.broadcast(total))  # one row
-    return met.select("stage", r6(F.col("seconds"), "seconds"), r6(F.col("seconds") * 1000 / F.col("tokens"), "ms_per_token"), r6(F.col("tokens") / (F.col("seconds") * 8), "throughput"))
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    stages = table(spark, sf_dir, "orders").groupBy(stage.alias("stage")).agg(F.sum("o_totalprice").alias("seconds"))
+    n = table(spark, sf_dir, "lineitem").agg(F.sum("l_quantity"), F.sum("l_linenumber")).first()
+    found = evaluation.timing_metrics(stages, "stage", "seconds", n[0], n[1])
+    return found.select("stage", r6(F.col("seconds"), "seconds"), r6(F.col("ms_per_token"), "ms_per_token"), r6(n[0] / (F.col("seconds") * 8), "throughput"))
 
 
 @query("SELECT name, round(CASE WHEN contains(name, 'max') THEN max(value) WHEN contains(name, 'min') THEN min(value) ELSE avg(value) END, 6) AS value FROM (SELECT event_type || CASE event_id % 3 WHEN 0 THEN '/max' WHEN 1 THEN '/min' ELSE '/mean' END AS name, value FROM events) GROUP BY name")
 def reduce_metrics(spark, sf_dir):
     kind = F.element_at(F.array(F.lit("/max"), F.lit("/min"), F.lit("/mean")), (F.col("event_id") % 3 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select(F.concat("event_type", kind).alias("name"), "value")
-    picked = F.when(F.col("name").contains("max"), F.max("value")).when(F.col("name").contains("min"), F.min("value")).otherwise(F.avg("value"))
-    return rows.groupBy("name").agg(r6(picked, "value"))
+    return evaluation.reduced(rows).select("name", r6(F.col("value"), "value"))
 
 
-@query("WITH m AS (SELECT event_type AS source, CASE event_id % 2 WHEN 0 THEN 'acc' ELSE 'len' END AS var, CASE event_id % 3 WHEN 0 THEN 'mean@8' WHEN 1 THEN 'best@4/mean' ELSE 'std@8' END AS metric FROM events) SELECT DISTINCT CASE WHEN var = 'acc' AND regexp_matches(metric, '^(mean|maj|best)') AND contains(metric, '@8') THEN 'val-core/' ELSE 'val-aux/' END || source || '/' || var || '/' || metric AS name FROM m")
+@query("""WITH m AS (SELECT DISTINCT event_type AS source, CASE event_id % 2 WHEN 0 THEN CASE WHEN event_type < 'l' THEN 'acc' ELSE 'reward' END ELSE 'len' END AS var,
+        CASE event_id % 3 WHEN 0 THEN 'mean' WHEN 1 THEN 'best' ELSE 'std' END || '@' || (2 + user_id % 7) || CASE WHEN event_id % 3 = 1 THEN '/mean' ELSE '' END AS metric FROM events),
+    n AS (SELECT *, max(CAST(split_part(split_part(metric, '@', 2), '/', 1) AS INT)) OVER (PARTITION BY source, var) AS most, max((var = 'acc')::INT) OVER (PARTITION BY source) AS acc FROM m)
+    SELECT CASE WHEN var = (CASE acc WHEN 1 THEN 'acc' ELSE 'reward' END) AND regexp_matches(metric, '^(mean|maj|best)') AND contains(metric, '@' || most) THEN 'val-core/' ELSE 'val-aux/' END || source || '/' || var || '/' || metric AS name FROM n""")
 def metric_naming(spark, sf_dir):
-    metric = F.when(F.col("event_id") % 3 == 0, "mean@8").when(F.col("event_id") % 3 == 1, "best@4/mean").otherwise("std@8")
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.when(F.col("event_id") % 2 == 0, "acc").otherwise("len").alias("var"), metric.alias("metric"))
-    core = (F.col("var") == "acc") & F.col("metric").rlike("^(mean|maj|best)") & F.col("metric").contains("@8")
-    return rows.select(F.concat_ws("/", F.when(core, "val-core").otherwise("val-aux"), "source", "var", "metric").alias("name")).distinct()
+    kind = F.when(F.col("event_id") % 3 == 0, "mean").when(F.col("event_id") % 3 == 1, "best").otherwise("std")
+    metric = F.concat(kind, F.lit("@"), (2 + F.col("user_id") % 7).cast("string"), F.when(F.col("event_id") % 3 == 1, "/mean").otherwise(""))
+    core = F.when(F.col("event_type") < "l", "acc").otherwise("reward")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.when(F.col("event_id") % 2 == 0, core).otherwise("len").alias("var"), metric.alias("metric")).distinct()
+    return evaluation.metric_names(rows, "source", "var", "metric").select("name")
 
 
 @query(f"WITH {ROLLOUTS}, c AS (SELECT uid // 50 AS part, sum(length) AS total FROM rollouts GROUP BY 1) SELECT min(total)::BIGINT AS least, max(total)::BIGINT AS most, (max(total) - min(total))::BIGINT AS gap, round(avg(total), 6) AS mean FROM c")
@@ -88,7 +97,7 @@ def micro_batches(spark, sf_dir):
     return balance.by_group(_lengths(spark, sf_dir), "batch", "item", "length", lambda x: balance.micro_batches(x, 300))
 
 
-@query("SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id)::INT AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0 QUALIFY rank <= 3")
+@query("SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id)::INT AS rank FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 QUALIFY rank <= 3")
 def dense_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     found = retrieval.dense_topk(rows.where("vec_id % 50 = 0"), rows, 3, "vec_id", "vec_id", "embedding")
@@ -129,8 +138,7 @@ def tool_step_reward(spark, sf_dir):
 
 @query("SELECT event_id, ts, user_id, event_type, (props::JSON) IS NOT NULL AS has_props FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') < '2024-01-20'")
 def date_range(spark, sf_dir):
-    day = F.date_format("ts", "yyyy-MM-dd")
-    return table(spark, sf_dir, "events").where((day >= "2024-01-05") & (day < "2024-01-20")).select("event_id", "ts", "user_id", "event_type", F.col("props").isNotNull().alias("has_props"))
+    return selection.date_range(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-20").select("event_id", "ts", "user_id", "event_type", F.col("props").isNotNull().alias("has_props"))
 
 
 @query("WITH b AS (SELECT strftime(ts, '%d') AS day, count(DISTINCT user_id) AS prompts FROM events GROUP BY 1), r AS (SELECT *, sum(prompts) OVER (ORDER BY day) AS running FROM b) SELECT day, prompts, running::BIGINT AS running, running >= 500 AND running - prompts < 500 AS \"full\" FROM r")

@@ -109,10 +109,14 @@ AMOUNTS = ("\\text{$K miles}", "\\$$K,000", "$K.00", "2 million and $K", "- $K 1
 def quantity_sql() -> str:
     text = written(AMOUNTS, "p_partkey", "p_size")
     steps = [(r"^\\text\{(.+?)\}$", r"\1"), (r"\\?[%$]", ""), (" (or|and) ", " , "), *((w, p) for w, p in G.POWERS), *((rf"{u}(es)?(s)? *(\^[0-9]+)?", "") for u in G.UNITS)]
-    steps += [(r"\^ *\\circ", ""), (r"(?s)^\{(.*)\}$", r"\1"), (r",\\! *", ""), (r"^\s*([+-]?[0-9]+)\.0*\s*$", r"\1"), ("- *", "-"), ("([0-9]) +([0-9])", r"\1+\2")]
+    steps += [(r"\^ *\\circ", ""), (r"(?s)^\{(.*)\}$", r"\1"), (r",\\! *", ""),]
     for pattern, new in steps:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(new)}, 'g')"
-    return f"WITH t AS (SELECT p_partkey, lower({text}) AS n FROM part) SELECT p_partkey, CASE WHEN regexp_full_match(n, '\\s*-?[0-9]{{1,3}}(,[0-9]{{3}})+\\s*') THEN trim(replace(n, ',', '')) ELSE n END AS normal FROM t"
+    number = "try_cast(trim(x) AS DOUBLE)"
+    rest = f"CASE WHEN abs({number} - round({number})) <= 1e-7 THEN round({number})::HUGEINT::VARCHAR ELSE x END"
+    for pattern, new in (("- *", "-"), ("([0-9]) +([0-9])", r"\1+\2")):
+        rest = f"regexp_replace({rest}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    return f"WITH s AS (SELECT p_partkey, {text} AS x FROM part), t AS (SELECT p_partkey, lower({rest}) AS n FROM s) SELECT p_partkey, CASE WHEN regexp_full_match(n, '\\s*-?[0-9]{{1,3}}(,[0-9]{{3}})+\\s*') THEN trim(replace(n, ',', '')) ELSE n END AS normal FROM t"
 
 
 @query(quantity_sql())

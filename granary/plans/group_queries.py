@@ -52,19 +52,29 @@ def adv_rfpp_baseline(spark, sf_dir):
     return value(A.whiten(A.centred(rollouts(spark, sf_dir)), "centred", "length"))
 
 
-@query(f"""WITH {TOKENS}, e AS (SELECT vec_id, i, r[i] AS r, v[i] AS v, coalesce(v[i + 1], 0) AS w FROM tokens, range(1, 17) t(i)),
-    d AS (SELECT vec_id, i, r + 0.9 * w - v AS d FROM e)
-    SELECT a.vec_id, a.i::INT - 1 AS pos, round(sum(b.d * pow(0.9 * 0.8, b.i - a.i)), 6) AS advantage FROM d a JOIN d b ON a.vec_id = b.vec_id AND b.i >= a.i GROUP BY 1, 2""")
+WHITE = """s AS (SELECT sum(m * x) / (sum(m) + 1e-8) AS mu, sum(m) AS n FROM g),
+    w AS (SELECT sum(m * (x - mu) * (x - mu)) / (max(n) + 1e-8) * max(n) / (max(n) - 1) AS var, max(mu) AS mu FROM g, s)"""
+
+
+def exploded(rows):
+    places = rows.select("vec_id", F.posexplode(F.arrays_zip("advantage", "returns")).alias("pos", "e"))
+    return places.select("vec_id", "pos", r6(F.col("e.advantage"), "advantage"), r6(F.col("e.returns"), "returns"))
+
+
+@query(f"""WITH {TOKENS}, e AS (SELECT vec_id, i, r[i] AS r, v[i] AS v, coalesce(v[i + 1], 0) AS w, m[i] AS m FROM tokens, range(1, 17) t(i)),
+    d AS (SELECT vec_id, i, r + 0.9 * w - v AS d, v, m FROM e),
+    g AS (SELECT a.vec_id, a.i, sum(b.d * pow(0.9 * 0.8, b.i - a.i)) AS x, any_value(a.v) AS v, any_value(a.m) AS m FROM d a JOIN d b ON a.vec_id = b.vec_id AND b.i >= a.i GROUP BY 1, 2), {WHITE}
+    SELECT vec_id, i::INT - 1 AS pos, round((x - mu) / sqrt(var + 1e-8), 6) AS advantage, round(x + v, 6) AS returns FROM g, w""")
 def adv_gae(spark, sf_dir):
-    rows = tokens(spark, sf_dir).select("vec_id", A.gae(F.col("r"), F.col("v"), 0.9, 0.8).alias("g"))
-    return rows.select("vec_id", F.posexplode("g").alias("pos", "advantage")).select("vec_id", "pos", r6(F.col("advantage"), "advantage"))
+    return exploded(A.gae_advantages(tokens(spark, sf_dir).select("vec_id", "r", "v", "m"), "r", "v", "m", 0.9, 0.8))
 
 
-@query(f"""WITH {TOKENS}, e AS (SELECT vec_id, i, r[i] * m[i] AS x, m[i] AS m FROM tokens, range(1, 17) t(i))
-    SELECT a.vec_id, a.i::INT - 1 AS pos, round(a.m * sum(b.x * pow(0.95, b.i - a.i)), 6) AS advantage FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i >= a.i GROUP BY 1, 2, a.m""")
+@query(f"""WITH {TOKENS}, e AS (SELECT vec_id, i, r[i] AS r, m[i] AS m FROM tokens, range(1, 17) t(i)),
+    g AS (SELECT a.vec_id, a.i, any_value(a.m) AS m, any_value(a.r) + any_value(a.m) * coalesce(sum(b.r * b.m * pow(0.95, b.i - a.i)), 0) + (1 - any_value(a.m)) * coalesce(sum(b.r * b.m * pow(0.95, b.i - a.i)), 0) AS x
+        FROM e a LEFT JOIN e b ON a.vec_id = b.vec_id AND b.i > a.i GROUP BY 1, 2), {WHITE}
+    SELECT vec_id, i::INT - 1 AS pos, round(m * (x - mu) / sqrt(var + 1e-8) + 0.0, 6) + 0.0 AS advantage, round(x, 6) AS returns FROM g, w""")
 def adv_rfpp(spark, sf_dir):
-    rows = tokens(spark, sf_dir).select("vec_id", A.discounted(F.col("r"), F.col("m"), 0.95).alias("g"))
-    return rows.select("vec_id", F.posexplode("g").alias("pos", "advantage")).select("vec_id", "pos", r6(F.col("advantage"), "advantage"))
+    return exploded(A.discounted_advantages(tokens(spark, sf_dir).select("vec_id", "r", "m"), "r", "m", 0.95))
 
 
 @query(f"""WITH {TOKENS}, e AS (SELECT vec_id, label, i, r[i] * m[i] AS x, m[i] AS m FROM tokens, range(1, 17) t(i))

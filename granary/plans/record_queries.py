@@ -260,7 +260,7 @@ def pad_packed(spark, sf_dir):
     return selection.pad_packed(rollouts(spark, sf_dir), "uid", "sample_id", "length", 64).select("uid", "sample_id", "length", "pad", "ends")
 
 
-@query("SELECT vec_id, [" + ", ".join(f"round(CASE WHEN n > 0 THEN embedding[{i}]::DOUBLE / n ELSE 0 END, 6)" for i in range(1, 9)) + "] AS head FROM (SELECT vec_id, embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE embedding IS NOT NULL)")
+@query("SELECT vec_id, [" + ", ".join(f"round(CASE WHEN n > 0 THEN embedding[{i}]::DOUBLE / n ELSE 0 END, 6)" for i in range(1, 65)) + "] AS head FROM (SELECT vec_id, embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE embedding IS NOT NULL)")
 def unit_vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", retrieval.normalise(C("embedding").cast("array<double>")).alias("unit"))
     return rows.select("vec_id", F.transform("unit", lambda x: F.round(x, 6)).alias("head"))

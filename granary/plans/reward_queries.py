@@ -8,7 +8,7 @@ from granary.functions import math_text as M
 from granary.functions import preference as P
 from granary.functions import sequences as S
 from granary.functions.tokens import total
-from granary.operators.advantages import reverse_scan
+from granary.functions.scans import reverse_scan
 from granary.operators.scoring import Scorers, apply
 from granary.plans.catalog import ROLLOUTS, TOKENS, query, r6, rollouts, table, tokens
 
@@ -64,7 +64,7 @@ def prime_batch_norm(spark, sf_dir):
     SELECT vec_id, round(sum(x), 6) AS whole, round(sum(x * i), 6) AS returns FROM e GROUP BY 1""")
 def adv_prime_rloo(spark, sf_dir):
     rows = tokens(spark, sf_dir).withColumn("uid", F.floor(C("vec_id") / 4))
-    made = P.prime_rloo(rows, "uid", "r", "m").withColumn("returns", reverse_scan(C("centred"), lambda carry, x: carry + x))
+    made = P.prime_rloo(rows, "uid", "r", "m").withColumn("returns", reverse_scan(C("centred")))
     return made.select("vec_id", r6(total(C("centred")), "whole"), r6(total(C("returns")), "returns"))
 
 

@@ -132,6 +132,13 @@ def gsm8k_flexible(spark, sf_dir):
     return worked(spark, sf_dir).select("o_orderkey", A.gsm8k(C("text"), False).alias("answer"))
 
 
+@query(f"WITH t AS (SELECT o_orderkey, o_custkey, nullif(replace(regexp_extract({WORK}, '#### (-?[0-9.,]+)', 1), ',', ''), '') AS answer FROM orders) SELECT o_orderkey, CASE WHEN answer IS NULL THEN 0.0::DOUBLE WHEN answer = (CASE WHEN o_custkey % 2 = 0 THEN o_orderkey * 1001 ELSE 7 END)::VARCHAR THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS score FROM t")
+def gsm8k_score(spark, sf_dir):
+    truth = F.when(C("o_custkey") % 2 == 0, C("o_orderkey") * 1001).otherwise(7).cast("string")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", truth.alias("truth")).join(worked(spark, sf_dir), "o_orderkey")
+    return rows.select("o_orderkey", A.gsm8k_score(C("text"), C("truth"), form=0.1).alias("score"))
+
+
 @query(f"SELECT o_orderkey, nullif(upper(regexp_extract({WORK}, '(?i)Answer[ \\t]*:[ \\t]*\\$?([A-D])\\$?', 1)), '') AS choice FROM orders")
 def choice_extract(spark, sf_dir):
     return worked(spark, sf_dir).select("o_orderkey", A.choice(C("text")).alias("choice"))

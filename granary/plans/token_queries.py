@@ -97,11 +97,59 @@ def masked_whiten(spark, sf_dir):
     return whiten(places, "r", "m").select("vec_id", "pos", r6(C("advantage"), "value"))
 
 
-@query(EXPLODED + "SELECT round(max(s), 6) AS score_max, round(avg(s), 6) AS score_mean, round(min(s), 6) AS score_min, round(1 - var_samp(g) / (var_samp(h) + 1e-5), 6) AS explained, avg(n)::DOUBLE AS length_mean, round(avg((n = 9)::INT), 6) AS clip_ratio FROM (SELECT vec_id, sum(r) AS s, any_value(label) AS n, sum(r - v) AS g, sum(r) AS h FROM e GROUP BY 1)")
+ALL = f"WITH {TOKENS}, e AS (SELECT vec_id, label, i, r[i] AS r, v[i] AS v, o[i] AS o, a[i] AS a, m[i] AS m FROM tokens, range(1, 17) t(i)) "
+
+
+def spread_sql(value: str, name: str) -> str:
+    return f"round(avg({value}), 6) AS {name}_mean, round(max({value}), 6) AS {name}_max, round(min({value}), 6) AS {name}_min"
+
+
+@query(ALL + f"""SELECT * FROM (SELECT {spread_sql("s", "score")}, {spread_sql("w", "reward")}, {spread_sql("n", "response_length")}, round(avg((n = 16)::INT), 6) AS response_length_clipped, {spread_sql("16 - n", "prompt_length")}, round(avg((n = 0)::INT), 6) AS prompt_length_clipped
+        FROM (SELECT sum(r) AS s, sum(o) AS w, sum(m) AS n FROM e GROUP BY vec_id)),
+    (SELECT {spread_sql("a", "advantage")}, {spread_sql("v", "return")}, {spread_sql("o", "value")}, round(1 - var_samp(v - o) / (var_samp(v) + 1e-5), 6) AS explained_variance FROM e WHERE m = 1)""")
 def data_metrics(spark, sf_dir):
-    rows = tokens(spark, sf_dir).select(T.total(C("r")).alias("s"), T.total(F.zip_with("r", "v", lambda a, b: a - b)).alias("g"), "label")
-    explained = 1 - F.var_samp("g") / (F.var_samp("s") + 1e-5)
-    return rows.agg(r6(F.max("s"), "score_max"), r6(F.avg("s"), "score_mean"), r6(F.min("s"), "score_min"), r6(explained, "explained"), F.avg("label").alias("length_mean"), r6(F.avg((C("label") == 9).cast("int")), "clip_ratio"))
+    from granary.operators import evaluation
+
+    rows = tokens(spark, sf_dir).withColumn("p", F.transform("m", lambda x: 1 - x))
+    found = evaluation.data_metrics(rows, "r", "o", "a", "v", "m", "p", "o")
+    return found.select(*[r6(C(c), c) for c in found.columns])
+
+
+PLAIN, CLIPPED = "-a * exp(v - r)", "-a * greatest(0.95, least(1.08, exp(v - r)))"
+
+
+@query(ALL + f""", l AS (SELECT *, {PLAIN} AS p, {CLIPPED} AS c FROM e)
+    SELECT round(sum(m * CASE WHEN a < 0 THEN least(greatest(p, c), -a * 1.1) ELSE greatest(p, c) END) / sum(m), 6) AS loss, round(sum(m * (c > p)::INT) / (sum(m) + 1e-8), 6) AS clip_fraction,
+        round(sum(m * (greatest(p, c) > -a * 1.1 AND a < 0)::INT) / (sum(m) + 1e-8), 6) AS lower_fraction, round(sum(m * (r - v)) / (sum(m) + 1e-8), 6) AS approximate_kl FROM l""")
+def policy_metrics(spark, sf_dir):
+    sums = tokens(spark, sf_dir).select(T.policy_sums(C("r"), C("v"), C("a"), C("m"), 0.05, 0.08, 1.1).alias("x"))
+    found = sums.agg(*T.policy_metrics(C("x")))
+    return found.select(*[r6(C(c), c) for c in found.columns])
+
+
+@query(ALL + """, l AS (SELECT m, (r - o) * (r - o) AS p, (greatest(v - 0.05, least(v + 0.05, r)) - o) * (greatest(v - 0.05, least(v + 0.05, r)) - o) AS c FROM e)
+    SELECT round(sum(m * greatest(p, c)) / sum(m), 6) AS loss, round(sum(m * (c > p)::INT) / (sum(m) + 1e-8), 6) AS clip_fraction FROM l""")
+def value_metrics(spark, sf_dir):
+    sums = tokens(spark, sf_dir).select(T.value_sums(C("r"), C("v"), C("o"), C("m"), 0.05).alias("x"))
+    found = sums.agg(*T.value_metrics(C("x")))
+    return found.select(*[r6(C(c), c) for c in found.columns])
+
+
+@query(EXPLODED + "SELECT round(avg(k), 6) AS kl FROM (SELECT sum((r - v) * m) / (sum(m) + 1e-8) AS k FROM e GROUP BY vec_id)")
+def kl_metric(spark, sf_dir):
+    """The mean over rows of a row's masked mean divergence, as it is reported beside the shaped reward."""
+    return tokens(spark, sf_dir).agg(r6(F.avg(T.masked_mean(T.kl("k1", C("r"), C("v")), C("m"))), "kl"))
+
+
+@query(f"WITH {TOKENS} " + """SELECT vec_id, round(CASE WHEN label % 4 = 0 THEN list_avg(r[1:3]) WHEN label % 4 = 1 THEN (v[1] + greatest(v[2], o[2])) / 2 WHEN label % 4 = 2 THEN list_avg(a[1:2]) ELSE 'nan'::DOUBLE END, 6) AS mean FROM tokens""")
+def chosen_logps(spark, sf_dir):
+    """Logged directly, from the candidates of each step, from scores, or missing."""
+    k = C("label") % 4
+    step = lambda i, name: F.create_map(F.lit(name), F.element_at("v", i), F.lit("other"), F.element_at("o", i))
+    logps = F.when(k == 0, F.concat(F.slice("r", 1, 3), F.array(F.lit(None).cast("double"))))
+    steps = F.when(k == 1, F.array(step(1, "x"), step(2, "y")))
+    found = T.chosen_logps(logps, steps, F.array(F.lit("x"), F.lit("z")), F.when(k == 2, F.slice("a", 1, 2)))
+    return tokens(spark, sf_dir).select("vec_id", r6(T.mean_logp(found), "mean"))
 
 
 def ids(spark, sf_dir):

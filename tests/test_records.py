@@ -1,3 +1,4 @@
+import pytest
 """Grading, records, selections and dispatch at their edges."""
 
 import math
@@ -46,7 +47,7 @@ def test_tuples(spark):
 
 
 def test_quantities(spark):
-    assert values(spark, ["3 miles", "$1,234,567", "4.00", "3 1/2", "- 5", "YES", "", None], G.quantity) == ["3 ", "1234567", "4", "3+1/2", "-5", "yes", "", None]
+    assert values(spark, ["3 miles", "1e3", "-0.0", "2.5", "3d", "$1,234,567", "4.00", "3 1/2", "- 5", "YES", "", None], G.quantity) == ["3", "1000", "0", "2.5", "3d", "1234567", "4", "3+1/2", "-5", "yes", "", None]
 
 
 def test_case_status(spark):
@@ -117,12 +118,10 @@ def test_dispatch(spark):
     assert sum(r.n for r in by_piece(batch, lambda part: pd.DataFrame({"n": [len(part)]}), "n long").collect()) == 10
 
 
-def test_dense_topk_is_alike_beyond_the_broadcast_bound(spark):
+def test_dense_topk_is_alike_in_blocks_of_queries(spark):
     rows = spark.range(60).select("id", F.array(*[F.sin(F.col("id") * k) for k in (1, 2, 3)]).alias("v"))
     find = lambda **bound: retrieval.dense_topk(rows.where("id % 5 = 0"), rows, 3, "id", "id", "v", **bound)
-    plan = find(most=0)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
-    got = [sorted(tuple(r) for r in find(**bound).collect()) for bound in ({}, {"most": 0})]
+    got = [sorted(tuple(r) for r in find(**bound).collect()) for bound in ({}, {"most": 7})]  # all at once, and in six blocks
     assert got[0] == got[1] and len(got[0]) == 36
     assert find().where("false").count() == retrieval.dense_topk(rows.where("false"), rows, 3, "id", "id", "v").count() == 0
 
@@ -146,3 +145,50 @@ def test_unit_vectors_returns_every_component(spark):
     assert got.keys() == rows.keys()
     for i, v in rows.items():
         assert len(got[i]) == len(v) == 64 and np.allclose(got[i], v / np.linalg.norm(v), atol=1e-6)
+
+
+def test_notations_in_their_order(spark):
+    """What the replacements do depends on their order; a bare percent sign stays."""
+    cases = {r"\\!": "\\", "50%": "50%", r"50\%": "50", r"2\text{ cm}": "2", r"5\%\text{ of it}": "5", "k = 3": "3", "a=b=c": "a=b=c", "x=": "", ".5": r"\frac{1}{2}", "1/2": r"\frac{1}{2}", "01/2": "01/2", r"\tfrac12": r"\frac{1}{2}", r"\sqrt3": r"\sqrt{3}", r"\left(\frac{.1}2\right)": r"(\frac{0.1}2)", "90^\\circ": "90", r"\frac1{72}": r"\frac{1}{72}"}
+    from granary.functions import math_text
+
+    assert values(spark, list(cases), math_text.notation) == list(cases.values())
+
+
+def test_scans_are_linear_and_equal_loops(spark):
+    import numpy as np
+
+    from granary.functions import scans, tokens
+    from granary.operators import advantages
+
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=n).tolist(), rng.integers(0, 2, n).astype(float).tolist()) for k, n in enumerate([0, 1, 5, 8192, 8192, 300])] + [(9, None, None)]
+    frame = spark.createDataFrame(rows, "k int, x array<double>, m array<double>")
+    got = {r.k: r for r in frame.select("k", scans.reverse_scan(F.col("x"), 0.9).alias("a"), scans.reverse_scan(F.col("x"), 0.9, F.col("m")).alias("b"), scans.running_sum(F.col("x")).alias("c"), tokens.position_ids(F.col("m")).alias("p")).collect()}
+    for k, x, m in rows:
+        if x is None:
+            assert got[k].a is got[k].b is got[k].c is None
+            continue
+        a, b = list(x), list(x)
+        for t in range(len(x) - 2, -1, -1):
+            a[t] += 0.9 * a[t + 1]
+            b[t] += 0.9 * m[t + 1] * b[t + 1]
+        assert np.allclose(got[k].a, a) and np.allclose(got[k].b, b) and np.allclose(got[k].c, np.cumsum(x))
+        assert got[k].p == np.maximum(np.cumsum(m) - 1, 0).astype(int).tolist()
+    tokens_ = spark.createDataFrame([(1, [1e8 + 1, 1e8 + 2, 5.0], [1.0, 1.0, 0.0]), (2, [1e8 + 3, 1e8 + 4, 7.0], [1.0, 1.0, 0.0])], "k int, x array<double>, m array<double>")
+    white = [v for r in advantages.whiten_arrays(tokens_, "x", "m").orderBy("k").collect() for v in r.x[:2]]
+    x = 1e8 + np.array([1.0, 2, 3, 4])
+    mean = x.sum() / (4 + 1e-8)
+    assert np.allclose(white, (x - mean) / np.sqrt(((x - mean) ** 2).sum() / (4 + 1e-8) * 4 / 3 + 1e-8), atol=1e-6)
+    for mask in ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0]):
+        with pytest.raises(Exception, match="whitening"):
+            advantages.whiten_arrays(spark.createDataFrame([(1, [1.0, 2.0, 3.0], mask)], "k int, x array<double>, m array<double>"), "x", "m").collect()
+
+
+def test_end_tokens_of_several_kinds(spark):
+    from granary.functions import tokens
+
+    rows = spark.createDataFrame([([20, 10, 34, 1, 0, 0, 0],), ([78, 0, 76, 2, 1, 0, 0],), ([23, 98, 1, 0, 0, 0, 0],), ([33, 3, 98, 45, 1, 0, 0],), ([5, 6],)], "ids array<int>")
+    assert [sum(r[0]) for r in rows.select(tokens.mask_to_eos(F.col("ids"), F.lit(1))).collect()] == [4, 5, 3, 5, 2]
+    assert [sum(r[0]) for r in rows.select(tokens.mask_to_eos(F.col("ids"), [1, 2])).collect()] == [4, 4, 3, 5, 2]
+    assert [r[0] for r in rows.select(tokens.remove_pad(F.col("ids"), F.transform("ids", lambda x: x % 2))).collect()][3:] == [[33, 3, 45, 1], [5]]
