@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,50 +46,120 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc
         shared = queries.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)))
         found = spread.mapInArrow(_nearest(shared, k), "query_id long, id long, score double")
         best = found if best is None else best.unionByName(found)
+    return _ranked(best, k, doc_id)
+
+
+class _Best:
+    """The k best of each query so far, ties to the smaller id."""
+
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def __init__(self, asked: np.ndarray, k: int):
+        self.asked, self.k = asked, k
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def take(self, own: np.ndarray, met: np.ndarray) -> None:
+        """``met``: a row of scores for each id, a column for each query; -inf where nothing was found."""
+        k = self.k
+        bar = np.partition(met, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(self.asked), -np.inf)
+        row, column = np.nonzero((met >= bar) & (met > -np.inf))  # k of each query, and ties
+        query, ids, scores = np.concatenate([self.query, column]), np.concatenate([self.ids, own[row]]), np.concatenate([self.scores, met[row, column]])
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+        self.query, self.ids, self.scores = query[kept], ids[kept], scores[kept]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.asked[self.query]), pa.array(self.ids), pa.array(self.scores)], schema=self.schema)
+
+
+def _ranked(best: DataFrame, k: int, doc_id: str) -> DataFrame:
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("id").alias(doc_id), "score", "rank")
 
 
 def _nearest(shared, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, points = shared.value
         if not len(asked):
             return
-        query, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best = _Best(asked, k)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                met = np.round(np.array(batch.column(1).to_pylist(), float) @ points.T, 12)
-                bar = np.partition(met, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(asked), -np.inf)
-                row, column = np.nonzero(met >= bar)  # k of each query, and ties
-                query, ids, scores = np.concatenate([query, column]), np.concatenate([ids, own[row]]), np.concatenate([scores, met[row, column]])
-                order = np.lexsort((ids, -scores, query))
-                query, ids, scores = query[order], ids[order], scores[order]
-                begins = np.searchsorted(query, query, side="left")
-                kept = np.arange(len(query)) - begins < k
-                query, ids, scores = query[kept], ids[kept], scores[kept]
-        yield pa.RecordBatch.from_arrays([pa.array(asked[query]), pa.array(ids), pa.array(scores)], schema=schema)
+                best.take(batch.column(0).to_numpy(zero_copy_only=False), np.round(np.array(batch.column(1).to_pylist(), float) @ points.T, 12))
+        yield best.batch()
 
     return run
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, text: str, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(query_id, doc_id, score, rank) by BM25 over lower-cased words, each query word counted once."""
-    split = lambda: F.array_remove(F.split(F.lower(text), r"\s+"), "")
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(split())).alias("term"))
-    sized = docs.select(doc_id, split().alias("_w")).withColumn("dl", F.size("_w"))
-    some = F.count_if(F.col("dl") > 0)  # no filter: it would split every text once more below the projection
-    stats = sized.agg((F.sum("dl") / some).alias("avgdl"), some.alias("docs"))
-    # Only the words that are asked for are counted by document.
-    used = sized.select(doc_id, "dl", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = pinned(used.groupBy(doc_id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    met = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy("query_id", doc_id).agg(F.round(F.sum(gain), 9).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), doc_id)))
-    return ranked.where(F.col("rank") <= k)
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, doc_id: str, text: str, k1: float = 0.9, b: float = 0.4, most: int = 4_000_000) -> DataFrame:
+    """(query_id, doc_id, score, rank) by BM25 over lower-cased words, each query word counted once.
+
+    Queries are a stated set, taken in blocks whose distinct words times queries stay at most
+    ``most`` or of one query; a block's words meet the texts as they are read, first to count in
+    how many each occurs and then to score. A partition keeps its own k best for each query, so
+    that neither a frequent word nor a query's many matches are shuffled.
+    """
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.col(text)), r"\s+"), ""))
+    asked = pinned(queries.select(F.col(query_id).cast("long").alias("id"), words.alias("words")).where("size(words) > 0"))
+    n, terms = asked.agg(F.count("*"), F.sum(F.size("words"))).first()
+    blocks = max(1, math.ceil(math.sqrt((n or 0) * (terms or 0) / max(most, 1))))
+    sized = docs.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text)).cast("binary").alias("text")).where("text is not null")
+    spark, best = queries.sparkSession, None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # a block of the stated set
+        names = {w.encode(): i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
+        uses = np.zeros((len(names), len(rows)))
+        for q, r in enumerate(rows):
+            uses[[names[w.encode()] for w in r["words"]], q] = 1.0
+        held = spark.sparkContext.broadcast(names)
+        counts = {r["term"]: r["n"] for r in sized.mapInArrow(_occurrences(held), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per word asked for
+        texts = counts.get(-1, 0)
+        df = np.array([counts.get(i, 0) for i in range(len(names))], float)
+        idf = np.log(1 + (texts - df + 0.5) / (df + 0.5))
+        shared = spark.sparkContext.broadcast((names, np.array([r["id"] for r in rows], np.int64), uses * idf[:, None], counts.get(-2, 0) / max(texts, 1)))
+        found = sized.mapInArrow(_relevant(shared, k, k1, b), "query_id long, id long, score double")
+        best = found if best is None else best.unionByName(found)
+    return _ranked(best, k, doc_id)
+
+
+def _occurrences(held):
+    """Per word asked for the number of texts that have it; -1: of texts with any word, -2: of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, df, texts, total = held.value, Counter(), 0, 0
+        for batch in batches:
+            for text in batch.column(1):
+                words = text.as_py().split()
+                texts, total = texts + (len(words) > 0), total + len(words)
+                df.update(names.keys() & words)
+        found = [(names[w], n) for w, n in df.items()] + [(-1, texts), (-2, total)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int64())], names=["term", "n"])
+
+    return run
+
+
+def _relevant(shared, k: int, k1: float, b: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked, weights, mean = shared.value
+        if not len(asked):
+            return
+        best = _Best(asked, k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                met = np.full((batch.num_rows, len(asked)), -np.inf)
+                for row, text in enumerate(batch.column(1)):
+                    words = text.as_py().split()
+                    tf = Counter(filter(names.__contains__, words))
+                    if tf:
+                        n = np.fromiter(tf.values(), float, len(tf))
+                        gain = n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / mean))
+                        met[row] = gain @ weights[[names[w] for w in tf]]
+                met = np.round(met, 9)
+                met[met <= 0] = -np.inf  # no word in common
+                best.take(batch.column(0).to_numpy(zero_copy_only=False), met)
+        yield best.batch()
+
+    return run
