@@ -154,3 +154,9 @@ def logged_value(line: Column, metric: str) -> Column:
     """A metric of a console line 'step:N - name:value - ...'; minus infinity if it can't be read."""
     parts = F.filter(F.split(line, " - "), lambda x: F.substring_index(x, ":", 1) == metric)
     return F.coalesce(F.substring_index(F.try_element_at(parts, F.lit(1)), ":", -1).try_cast("double"), F.lit(float("-inf")))
+
+
+def pass_rate(status: Column, first: int | None = None) -> Column:
+    """The share of test cases that passed (status 1), of all or of the ``first`` ones; null without cases."""
+    taken = status if first is None else F.slice(status, F.lit(1), F.lit(first))
+    return F.aggregate(taken, F.lit(0.0), lambda n, s: n + F.when(s == 1, 1.0).otherwise(0.0)) / F.nullif(F.size(taken), F.lit(0))

@@ -112,3 +112,32 @@ def unpadded(ids: Column, valid: Column, end: Column) -> Column:
 
 def cut_to(most: int, *names: str) -> list[Column]:
     return [F.slice(name, 1, most).alias(name) for name in names]
+
+
+def passages(documents: Column) -> Column:
+    """Retrieved documents as one text, numbered from 1: the first line is the title, the rest the text."""
+
+    def one(content: Column, i: Column) -> Column:
+        title = F.split_part(content, F.lit("\n"), F.lit(1))
+        rest = F.substr(content, F.length(title) + 2)
+        return F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), title, F.lit(")\n"), rest, F.lit("\n\n"))
+
+    return F.regexp_replace(F.array_join(F.transform(documents, one), ""), r"\A\s+|\s+\z", "")
+
+
+def target(own: Column, golden: Column) -> Column:
+    """The record's own ground truth, or else its list of golden answers."""
+    return F.coalesce(own, golden)
+
+
+def tool_call(arguments: Column) -> Column:
+    """(arguments, failed): the JSON object as a map of texts; of anything else an empty map, and that it failed."""
+    kind = F.schema_of_variant(F.try_parse_json(arguments))
+    failed = ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    found = F.from_json(arguments, "map<string,string>")
+    return F.struct(F.when(failed, F.create_map().cast("map<string,string>")).otherwise(found).alias("arguments"), failed.alias("failed"))
+
+
+def metric_name(name: Column) -> Column:
+    """A metric's name as trackers that forbid ``@`` take it."""
+    return F.replace(name, F.lit("@"), F.lit("_at_"))

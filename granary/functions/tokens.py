@@ -26,6 +26,20 @@ def masked_mean(values: Column, mask: Column) -> Column:
     return masked_sum(values, mask) / (total(mask) + 1e-8)
 
 
+def aggregated_loss(loss: Column, mask: Column, mode: str) -> Column:
+    """Over all rows: the loss by token, or by sequence of token sums, means, or sums over the width."""
+    sums, n = masked_sum(loss, mask), total(mask)
+    if mode == "token-mean":
+        return F.sum(sums) / (F.sum(n) + 1e-8)
+    if mode == "seq-mean-token-sum":
+        return F.avg(sums)
+    if mode == "seq-mean-token-mean":
+        return F.avg(sums / n)
+    if mode == "seq-mean-token-sum-norm":
+        return F.sum(sums) / F.max(F.size(mask))
+    raise ValueError(mode)
+
+
 def kl(kind: str, logp: Column, ref: Column) -> Column:
     """Per-token divergence estimates: k1, abs, k2 or k3 (within 10 of 0)."""
     forms = {

@@ -34,6 +34,16 @@ def differencing(lengths: list[int], parts: int, equal: bool = False) -> list[li
     return [sorted(b[1]) for b in heap[0][2]] if heap else [[] for _ in range(parts)]
 
 
+def balanced(lengths: list[int], parts: int, equal: bool = False) -> list[list[int]]:
+    """:func:`differencing`, checked: as many items as partitions at least, none empty, each item in one; members in order."""
+    if len(lengths) < parts:
+        raise ValueError("fewer items than partitions")
+    found = [sorted(p) for p in differencing(lengths, parts, equal)]
+    if len(found) != parts or not all(found) or sorted(i for p in found for i in p) != list(range(len(lengths))):
+        raise ValueError("a partition is empty, or items are lost")
+    return found
+
+
 def differencing_even(lengths: list[int], parts: int) -> list[list[int]]:
     """``parts`` partitions of near-equal sums whose sizes differ by at most one, for any number of items.
 

@@ -157,3 +157,9 @@ def metric_names(rows: DataFrame, source: str, variable: str, metric: str, core:
     marked = rows.withColumns({"_most": F.max(number).over(one), "_core": F.when(known == 1, F.lit(core)).otherwise("reward")})
     top = (F.col(variable) == F.col("_core")) & F.col(metric).rlike("^(mean|maj|best)") & F.col(metric).contains(F.concat(F.lit("@"), F.col("_most")))
     return marked.withColumn("name", F.concat_ws("/", F.when(top, "val-core").otherwise("val-aux"), source, variable, metric)).drop("_most", "_core")
+
+
+def step_rewards(rows: DataFrame, group: str, order: str, score: str, reward: float = 0.0, penalty: float = -0.05) -> DataFrame:
+    """Add ``reward``: ``reward`` where a step scores above the one before (0 before the first), else ``penalty``."""
+    before = F.coalesce(F.lag(score).over(Window.partitionBy(group).orderBy(order)), F.lit(0.0))
+    return rows.withColumn("reward", F.when(F.col(score) > before, reward).otherwise(penalty))

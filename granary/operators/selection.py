@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.batch import with_row_id
+
 
 def _draw(seed: int, *parts: Column) -> Column:
     """A text in random order, alike in every engine and run."""
@@ -70,3 +72,57 @@ def adaptive_kl(steps: DataFrame, step: str, kl: str, n: str, start: float, targ
 def date_range(rows: DataFrame, at: str, first: str, end: str) -> DataFrame:
     """Rows of the days from ``first`` up to and without ``end``; timestamps are compared, so that scans can skip files."""
     return rows.where((F.col(at) >= F.lit(first).cast("timestamp")) & (F.col(at) < F.lit(end).cast("timestamp")))
+
+
+def keep_groups(rows: DataFrame, kept: DataFrame, uid: str) -> DataFrame:
+    """The rows of the groups in ``kept`` (a column named like ``uid``)."""
+    return rows.join(kept.select(uid), uid, "left_semi")
+
+
+def drop_blocked(rows: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in ``blocked``."""
+    return rows.join(blocked.select(key), key, "left_anti")
+
+
+def drop_empty(rows: DataFrame, label: str) -> DataFrame:
+    """The rows with a label: no null, no empty text."""
+    return rows.where(F.col(label).isNotNull() & (F.col(label).cast("string") != ""))
+
+
+def drop_uneven(rows: DataFrame, *arrays: str) -> DataFrame:
+    """The rows whose arrays are equally long; a missing array goes with none."""
+    sizes = [F.coalesce(F.size(a), F.lit(-1)) for a in arrays]
+    return rows.where(F.least(*sizes) == F.greatest(*sizes)).where(sizes[0] >= 0)
+
+
+def lookup(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """What was found with the documents' own columns; ids that no document has drop out."""
+    return hits.join(documents, key)
+
+
+def submit_order(rows: DataFrame, batch: str, offset: str) -> DataFrame:
+    """Rows numbered (``row_id``) in the order in which they were asked for."""
+    return with_row_id(rows, batch, offset)
+
+
+def latest(rows: DataFrame, group: str, step: str, *carry: str) -> DataFrame:
+    """Each group's largest step, with the columns of that row."""
+    return rows.groupBy(group).agg(F.max(step).alias(step), *[F.max_by(c, step).alias(c) for c in carry])
+
+
+def remaining_steps(steps: DataFrame, step: str, blocked: str, total: int, batch: int) -> DataFrame:
+    """Add ``remaining``: the total less a step for each started batch of newly blocked prompts, no less than the step. A row per step."""
+    run = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumn("remaining", F.greatest(F.lit(total) - F.sum(F.ceil(F.col(blocked) / batch)).over(run), step).cast("long"))
+
+
+def transposed(rows: DataFrame, group: str, order: str, *columns: str) -> DataFrame:
+    """A row per group with an array of each column, in the order of the rows: a list of records as a record of lists."""
+    held = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    return rows.groupBy(group).agg(held.alias("_held")).select(group, *[F.col(f"_held.{c}").alias(c) for c in columns])
+
+
+def pairs(rows: DataFrame, pair: str, score: str, order: str) -> DataFrame:
+    """Chosen and rejected row of each pair; the first is chosen on a tie, a lone row has no rejected one."""
+    rank = F.struct(score, -F.col(order))
+    return rows.groupBy(pair).agg(F.max_by(order, rank).alias("chosen"), F.when(F.count("*") > 1, F.min_by(order, rank)).alias("rejected"))

@@ -130,10 +130,7 @@ def console_line(spark, sf_dir):
 
 @query("SELECT user_id, event_id, CASE WHEN value > coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) THEN 0.0::DOUBLE ELSE -0.05::DOUBLE END AS reward FROM events")
 def tool_step_reward(spark, sf_dir):
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(0.0))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("value") > before, 0.0).otherwise(-0.05).alias("reward"))
+    return evaluation.step_rewards(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "reward")
 
 
 @query("SELECT event_id, ts, user_id, event_type, (props::JSON) IS NOT NULL AS has_props FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') < '2024-01-20'")

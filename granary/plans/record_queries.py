@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import records as R
-from granary.functions.tokens import masked_sum, total
+from granary.functions.tokens import masked_sum, remove_pad, total
 from granary.operators import retrieval, selection
 from granary.plans.catalog import ROLLOUTS, TOKENS, VOTES, query, r6, rollouts, table, tokens, votes
 from granary.sources import files
@@ -42,8 +42,9 @@ def record_tools(spark, sf_dir):
 
 @query("SELECT doc_id, 'granary_' || coalesce(source, 'none') AS data_source, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, source, '') AS target FROM documents")
 def search_records(spark, sf_dir):
-    own = F.when(C("doc_id") % 3 > 0, C("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("granary_"), F.coalesce("source", F.lit("none"))).alias("data_source"), F.coalesce(own, "source", F.lit("")).alias("target"))
+    own, golden = F.when(C("doc_id") % 3 > 0, F.array("lang")), F.array(F.coalesce("source", F.lit("")))
+    found = R.target(F.when(own[0].isNotNull(), own), golden)
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("granary_"), F.coalesce("source", F.lit("none"))).alias("data_source"), found[0].alias("target"))
 
 
 @query("SELECT c_custkey, list_transform(range(0, 5), lambda i: CASE i WHEN 1 THEN 'image' WHEN 3 THEN 'video' ELSE 'text' END) AS types, [c_name, NULL, ' and ', NULL, ''] AS texts FROM customer")
@@ -54,8 +55,8 @@ def media_segments(spark, sf_dir):
 
 @query(f"WITH {ROLLOUTS} SELECT uid, list(score ORDER BY sample_id) AS scores, list(length ORDER BY sample_id) AS lengths FROM rollouts GROUP BY uid")
 def transpose_samples(spark, sf_dir):
-    held = F.array_sort(F.collect_list(F.struct("sample_id", "score", "length")))
-    return rollouts(spark, sf_dir).groupBy("uid").agg(held.alias("s")).select("uid", C("s.score").alias("scores"), C("s.length").alias("lengths"))
+    found = selection.transposed(rollouts(spark, sf_dir), "uid", "sample_id", "score", "length")
+    return found.select("uid", C("score").alias("scores"), C("length").alias("lengths"))
 
 
 @query("SELECT conv_id, list_prepend('system', list(role ORDER BY turn, role, text)) AS roles FROM conversations GROUP BY conv_id")
@@ -74,7 +75,7 @@ def prompt_length_filter(spark, sf_dir):
 
 @query(WITH + "SELECT vec_id, list_transform(range(1, label + 1), lambda i: round(r[i], 6)) AS kept FROM tokens")
 def select_tokens(spark, sf_dir):
-    kept = F.transform(F.filter(F.arrays_zip("r", "m"), lambda x: x["m"] > 0), lambda x: F.round(x["r"], 6))
+    kept = F.transform(remove_pad(C("r"), C("m")), lambda x: F.round(x, 6))
     return tokens(spark, sf_dir).select("vec_id", kept.alias("kept"))
 
 
@@ -87,21 +88,20 @@ def log_sample(spark, sf_dir):
 @query(f"WITH {ROLLOUTS}, k AS (SELECT uid FROM rollouts GROUP BY 1 HAVING max(score) - min(score) > 30) SELECT uid, sample_id FROM rollouts SEMI JOIN k USING (uid)")
 def keep_groups(spark, sf_dir):
     kept = rollouts(spark, sf_dir).groupBy("uid").agg((F.max("score") - F.min("score")).alias("span")).where("span > 30")
-    return rollouts(spark, sf_dir).join(kept, "uid", "left_semi").select("uid", "sample_id")
+    return selection.keep_groups(rollouts(spark, sf_dir), kept, "uid").select("uid", "sample_id")
 
 
 @query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ON o_custkey = c_custkey")
 def drop_blocked(spark, sf_dir):
     blocked = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(C("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(blocked, "o_custkey", "left_anti").select("o_orderkey")
+    return selection.drop_blocked(table(spark, sf_dir, "orders"), blocked, "o_custkey").select("o_orderkey")
 
 
 @query(WITH + ", p AS (SELECT vec_id // 2 AS pair, vec_id, list_sum(r) AS s FROM tokens) SELECT pair, arg_max(vec_id, (s, -vec_id)) AS chosen, CASE WHEN count(*) > 1 THEN arg_min(vec_id, (s, -vec_id)) END AS rejected FROM p GROUP BY pair")
 def pair_split(spark, sf_dir):
     """Chosen and rejected rows of each pair; the first is chosen on a tie, a lone row has no rejected one."""
     rows = tokens(spark, sf_dir).select(F.floor(C("vec_id") / 2).alias("pair"), "vec_id", total(C("r")).alias("s"))
-    rank = F.struct("s", -C("vec_id"))
-    return rows.groupBy("pair").agg(F.max_by("vec_id", rank).alias("chosen"), F.when(F.count("*") > 1, F.min_by("vec_id", rank)).alias("rejected"))
+    return selection.pairs(rows, "pair", "s", "vec_id")
 
 
 @query("SELECT c_custkey, c_name AS \"a/name\", c_nationkey AS \"a/b/nation\" FROM customer")
@@ -113,7 +113,7 @@ def flatten_params(spark, sf_dir):
 @query("SELECT event_id, 'val_at_' || event_type || '/mean_at_8' AS name FROM events")
 def metric_rename(spark, sf_dir):
     name = F.concat(F.lit("val@"), "event_type", F.lit("/mean@8"))
-    return table(spark, sf_dir, "events").select("event_id", F.replace(name, F.lit("@"), F.lit("_at_")).alias("name"))
+    return table(spark, sf_dir, "events").select("event_id", R.metric_name(name).alias("name"))
 
 
 @query("SELECT CASE WHEN c_custkey < floor(n * 0.75) THEN 'head' ELSE 'tail' END AS part, count(*) AS rows, min(c_custkey) AS first FROM customer, (SELECT count(*) AS n FROM customer) GROUP BY 1")
@@ -138,15 +138,15 @@ def rank_stride(spark, sf_dir):
 
 @query("SELECT event_type AS run, max(event_id) AS step, arg_max(user_id, event_id) AS state FROM events GROUP BY 1")
 def latest_checkpoint(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(C("event_type").alias("run")).agg(F.max("event_id").alias("step"), F.max_by("user_id", "event_id").alias("state"))
+    rows = table(spark, sf_dir, "events").select(C("event_type").alias("run"), C("event_id").alias("step"), C("user_id").alias("state"))
+    return selection.latest(rows, "run", "step", "state")
 
 
 @query("WITH s AS (SELECT l_linenumber AS step, count(DISTINCT l_orderkey) AS blocked FROM lineitem GROUP BY 1) SELECT step, greatest(1000 - sum(ceil(blocked / 64)) OVER (ORDER BY step), step)::BIGINT AS remaining FROM s")
 def remaining_steps(spark, sf_dir):
     """Total steps after each step's newly blocked prompts; never below the step itself."""
     steps = table(spark, sf_dir, "lineitem").groupBy(C("l_linenumber").alias("step")).agg(F.countDistinct("l_orderkey").alias("blocked"))
-    run = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a step
-    return steps.select("step", F.greatest(F.lit(1000) - F.sum(F.ceil(C("blocked") / 64)).over(run), "step").cast("long").alias("remaining"))
+    return selection.remaining_steps(steps, "step", "blocked", 1000, 64).select("step", "remaining")
 
 
 @query("""WITH c AS (SELECT p_partkey, i, ['name', 'brand', 'type', 'size'][i] AS choice FROM part, range(1, 5) t(i)), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('7:' || p_partkey || ':' || i), i) AS k FROM c)
@@ -323,3 +323,27 @@ def balanced_reorder(spark, sf_dir):
     rows = rollouts(spark, sf_dir).select(F.floor(C("uid") / 100).alias("batch"), (C("uid") * 100 + C("sample_id")).alias("item"), "length")
     parts = balance.by_group(rows, "batch", "item", "length", lambda x: balance.differencing_even(x, 4))
     return parts.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("part", "pos")) - 1)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND lang <> '' AND doc_id % 3 > 0")
+def drop_empty_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(C("doc_id") % 3 > 0, C("lang")).otherwise("").alias("lang"))
+    return selection.drop_empty(rows, "lang")
+
+
+@query("SELECT vec_id FROM embeddings WHERE label = 5")
+def drop_uneven(spark, sf_dir):
+    """Rows whose responses and log-probabilities aren't equally many are left out."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), C("label")).alias("a"), F.slice("embedding", 1, 5).alias("b"))
+    return selection.drop_uneven(rows, "a", "b").select("vec_id")
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey + 5")
+def document_lookup(spark, sf_dir):
+    hits = table(spark, sf_dir, "orders").select("o_orderkey", (C("o_custkey") + 5).alias("c_custkey"))
+    return selection.lookup(hits, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("o_orderkey", "c_custkey", "c_name")
+
+
+@query(f"WITH {ROLLOUTS} SELECT uid, sample_id, row_number() OVER (ORDER BY uid, sample_id) - 1 AS row_id FROM rollouts")
+def submit_order(spark, sf_dir):
+    return selection.submit_order(rollouts(spark, sf_dir).select("uid", "sample_id"), "uid", "sample_id")

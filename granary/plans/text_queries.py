@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import answers as A
-from granary.operators import evaluation
-from granary.plans.catalog import query, r6, table
+from granary.functions import grading as G
+from granary.functions import records as R
+from granary.operators import evaluation, selection
+from granary.plans.catalog import ROLLOUTS, query, r6, rollouts, table
 
 C = F.col
 # Eight kinds of response, by the sample's number: $N is a name, $K a number.
@@ -168,20 +170,25 @@ def hellaswag_clean(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", A.cleaned_activity(F.concat(F.lit(" "), "p_name", F.lit(" [title] x [note]  y "))).alias("clean"))
 
 
-@query("SELECT item_id, 'Doc ' || item_id || ' (Title: ' || split_part(text, '.', 1) || ')' || chr(10) || substr(text, length(split_part(text, '.', 1)) + 2) AS passage FROM benchmark")
+@query("SELECT item_id, 'Doc 1 (Title: ' || item_id || ')' || chr(10) || trim(text) || chr(10) || 'end' || chr(10) || chr(10) || 'Doc 2 (Title: none)' AS passage FROM benchmark")
 def passage_format(spark, sf_dir):
-    title = F.split_part("text", F.lit("."), F.lit(1))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Doc "), C("item_id").cast("string"), F.lit(" (Title: "), title, F.lit(")\n"), F.substr("text", F.length(title) + 2)).alias("passage"))
+    found = F.concat(C("item_id").cast("string"), F.lit("\n"), F.trim("text"), F.lit("\nend"))
+    return table(spark, sf_dir, "benchmark").select("item_id", R.passages(F.array(found, F.lit("none"))).alias("passage"))
 
 
-@query("SELECT o_orderkey, round(avg((l_returnflag = 'N')::INT), 6) AS pass_rate, min(CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN -1 ELSE -2 END)::INT AS worst FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query(f"WITH {ROLLOUTS}, t AS (SELECT uid, sample_id, CASE WHEN score < 20 THEN 1 WHEN score < 40 THEN -1 ELSE -2 END AS s FROM rollouts) SELECT uid, round(avg((s = 1)::INT), 6) AS pass_rate, round(avg((s = 1)::INT) FILTER (WHERE sample_id < 3), 6) AS first_rate, min(s)::INT AS worst FROM t GROUP BY uid")
 def code_passrate(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), C("l_orderkey") == C("o_orderkey"))
-    status = F.when(C("l_returnflag") == "N", 1).when(C("l_returnflag") == "R", -1).otherwise(-2)
-    return lines.groupBy("o_orderkey").agg(r6(F.avg((C("l_returnflag") == "N").cast("int")), "pass_rate"), F.min(status).alias("worst"))
+    """Of all test cases, and of the first three."""
+    status = F.when(C("score") < 20, 1).when(C("score") < 40, -1).otherwise(-2)
+    cases = selection.transposed(rollouts(spark, sf_dir).withColumn("status", status), "uid", "sample_id", "status")
+    return cases.select("uid", r6(G.pass_rate(C("status")), "pass_rate"), r6(G.pass_rate(C("status"), 3), "first_rate"), F.array_min("status").alias("worst"))
 
 
-@query("SELECT event_id, json_valid(props) AND json_type(props) = 'OBJECT' AS decoded FROM events")
+CALLS = "CASE event_id % 4 WHEN 0 THEN '{\"user\": \"' || user_id || '\", \"kind\": \"' || event_type || '\"}' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{broken' ELSE '{}' END"
+
+
+@query(f"SELECT event_id, event_id % 4 IN (1, 2) AS failed, CASE WHEN event_id % 4 = 0 THEN user_id::VARCHAR END AS \"user\", CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END::INT AS n FROM (SELECT *, {CALLS} AS call FROM events)")
 def tool_call_decode(spark, sf_dir):
-    kind = F.schema_of_variant(F.try_parse_json("props"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("decoded"))
+    call = R.tool_call(F.expr(CALLS)).alias("call")
+    rows = table(spark, sf_dir, "events").select("event_id", call)
+    return rows.select("event_id", "call.failed", F.try_element_at("call.arguments", F.lit("user")).alias("user"), F.size("call.arguments").alias("n"))

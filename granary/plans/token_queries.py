@@ -71,14 +71,10 @@ def aggregated(name, column, sql):
 
 
 
-def loss():
-    return T.masked_sum(C("r"), C("m"))
-
-
-aggregated("loss_agg_token_mean", lambda: F.sum(loss()) / F.sum("label"), "SELECT round(sum(r * m) / sum(m), 6) AS value FROM e")
-aggregated("loss_agg_seq_sum", lambda: F.avg(loss()), "SELECT round(avg(s), 6) AS value FROM (SELECT sum(r * m) AS s FROM e GROUP BY vec_id)")
+aggregated("loss_agg_token_mean", lambda: T.aggregated_loss(C("r"), C("m"), "token-mean"), "SELECT round(sum(r * m) / sum(m), 6) AS value FROM e")
+aggregated("loss_agg_seq_sum", lambda: T.aggregated_loss(C("r"), C("m"), "seq-mean-token-sum"), "SELECT round(avg(s), 6) AS value FROM (SELECT sum(r * m) AS s FROM e GROUP BY vec_id)")
 aggregated("loss_agg_seq_mean", lambda: F.avg(T.masked_mean(C("r"), C("m"))), "SELECT round(avg(s), 6) AS value FROM (SELECT sum(r * m) / (sum(m) + 1e-8) AS s FROM e GROUP BY vec_id)")
-aggregated("loss_agg_seq_sum_norm", lambda: F.sum(loss()) / 16, "SELECT round(sum(r * m) / 16, 6) AS value FROM e")
+aggregated("loss_agg_seq_sum_norm", lambda: T.aggregated_loss(C("r"), C("m"), "seq-mean-token-sum-norm"), "SELECT round(sum(r * m) / 16, 6) AS value FROM e")
 
 
 @query(EXPLODED + "SELECT round(max(d), 6) AS most, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM (SELECT abs(exp(r) - exp(v)) AS d FROM e WHERE m = 1)")

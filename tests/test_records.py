@@ -192,3 +192,62 @@ def test_end_tokens_of_several_kinds(spark):
     assert [sum(r[0]) for r in rows.select(tokens.mask_to_eos(F.col("ids"), F.lit(1))).collect()] == [4, 5, 3, 5, 2]
     assert [sum(r[0]) for r in rows.select(tokens.mask_to_eos(F.col("ids"), [1, 2])).collect()] == [4, 4, 3, 5, 2]
     assert [r[0] for r in rows.select(tokens.remove_pad(F.col("ids"), F.transform("ids", lambda x: x % 2))).collect()][3:] == [[33, 3, 45, 1], [5]]
+
+
+def test_small_operators_at_their_edges(spark):
+    from granary.functions import grading, records, tokens
+    from granary.operators import balance, selection
+
+    calls = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("[1]",), ("{",), (None,), ("{}",)], "c string")
+    assert [(r.c.arguments, r.c.failed) for r in calls.select(records.tool_call(F.col("c")).alias("c")).collect()] == [({"a": "1", "b": "x"}, False), ({}, True), ({}, True), ({}, True), ({}, False)]
+    docs = spark.createDataFrame([(["T\nline\nmore", "only"],), ([],)], "d array<string>")
+    assert [r[0] for r in docs.select(records.passages(F.col("d"))).collect()] == ["Doc 1 (Title: T)\nline\nmore\n\nDoc 2 (Title: only)", ""]
+    rates = spark.createDataFrame([([1, 1, -1, -2],), ([],), (None,)], "s array<int>")
+    assert [tuple(r) for r in rates.select(grading.pass_rate(F.col("s")), grading.pass_rate(F.col("s"), 2)).collect()] == [(0.5, 1.0), (None, None), (None, None)]
+    logs = spark.createDataFrame([([None, -1.0], None, None, None), (None, [{"x": -2.0, "y": -1.0}, {"y": -3.0}], ["x", "z"], None), (None, [], None, [-4.0, None]), ([], None, None, None)], "l array<double>, s array<map<string,double>>, t array<string>, z array<double>")
+    got = [r[0] for r in logs.select(tokens.chosen_logps(*[F.col(c) for c in "lstz"])).collect()]
+    assert got == [[-1.0], [-2.0, -3.0], [-4.0], []]
+    uneven = spark.createDataFrame([(1, [1], [2]), (2, [1], [2, 3]), (3, None, [1]), (4, [], [])], "k int, a array<int>, b array<int>")
+    assert [r.k for r in selection.drop_uneven(uneven, "a", "b").orderBy("k").collect()] == [1, 4]
+    assert [sum((5, 5, 4, 4)[i] for i in p) for p in balance.balanced([5, 5, 4, 4], 2)] == [9, 9]
+    for wrong in (([1], 2, False), ([1, 2, 3], 2, True)):
+        with pytest.raises(ValueError):
+            balance.balanced(*wrong)
+    assert spark.range(1).select(tokens.clip(F.lit(5), F.lit(1), F.lit(3)), tokens.clip(F.lit(0), F.lit(1), F.lit(3))).first()[:] == (3, 1)
+
+
+def brute_partition(lengths, parts):
+    """The smallest possible largest sum."""
+    best = [sum(lengths)]
+
+    def place(at, loads):
+        if max(loads) >= best[0]:
+            return
+        if at == len(lengths):
+            best[0] = max(loads)
+            return
+        for p in range(parts):
+            place(at + 1, [x + lengths[at] * (q == p) for q, x in enumerate(loads)])
+
+    place(0, [0] * parts)
+    return best[0]
+
+
+def test_partitions_against_brute_force():
+    """Differencing and the least loaded are near the best possible, and keep every item once."""
+    import random
+
+    from granary.operators import balance
+
+    rng = random.Random(2)
+    for _ in range(40):
+        lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(4, 9))]
+        parts = rng.randrange(2, 4)
+        best = brute_partition(lengths, parts)
+        largest = lambda found: max(sum(lengths[i] for i in p) for p in found)
+        assert best <= largest(balance.balanced(lengths, parts)) <= best * 4 / 3 + 1
+        greedy = balance.least_loaded(lengths, parts)
+        assert sorted(i for p in greedy for i in p) == list(range(len(lengths))) and best <= largest(greedy) <= 2 * best
+        small = balance.micro_batches(lengths, 60)
+        assert sorted(i for p in small for i in p) == list(range(len(lengths)))
+    assert balance.least_loaded([3, 3, 3, 1], 2) == [[0, 2], [1, 3]]  # ties go to the partition of the smaller number
