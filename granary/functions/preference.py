@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.tokens import masked_sum, total
 from granary.functions.scans import reverse_scan
+from granary.functions.tokens import masked_sum, total
+from granary.operators.advantages import whiten_arrays
+from granary.session import pinned
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -50,6 +52,47 @@ def implicit_reward(logp: Column, ref: Column, valid: Column, beta: float) -> Co
     return F.transform(ratio, lambda x, i: F.when(i < valid, x).otherwise(0.0))
 
 
+def detached_dpo(score: Column, correct: Column, others: Column, others_correct: Column, beta: float, mode: str = "none") -> Column:
+    """A row's loss against the mean score of the samples that did worse (of a wrong row: better), or 0 without any.
+
+    ``bon_rm`` and ``bon_acc`` weigh it by n * share ** (n - 1), the share of samples with no larger
+    score or correctness; such rows are summed, unweighted ones averaged.
+    """
+    rows = F.zip_with(others, others_correct, lambda q, a: F.struct(q.alias("q"), a.alias("a")))
+    against = F.filter(rows, lambda x: F.when(correct > 0, x["a"] < correct).otherwise(x["a"] > correct))
+    base = F.when(F.size(against) > 0, total(F.transform(against, lambda x: x["q"])) / F.size(against) * beta).otherwise(0.0)
+    loss = -log_sigmoid((score * beta - base) * F.when(correct > 0, 1.0).otherwise(-1.0))
+    if mode == "none":
+        return loss
+    n = F.size(rows)
+    if mode == "bon_rm":
+        below = F.filter(rows, lambda x: x["q"] * beta <= score * beta)
+    elif mode == "bon_acc":
+        below = F.filter(rows, lambda x: x["a"] <= correct)
+    else:
+        raise NotImplementedError(mode)
+    return loss * n * F.pow(F.size(below) / n, (n - 1).cast("double"))
+
+
+def prime_advantages(rows: DataFrame, uid: str, sources: list[tuple[str, str, float]], mask: str) -> DataFrame:
+    """Add ``returns`` and ``advantage``: token rewards of several sources (values, mask, weight), each against its
+    group's other rows, weighed and added, summed from behind on the mask, and whitened.
+    """
+    parts = []
+    for k, (values, own, weight) in enumerate(sources):
+        rows = prime_rloo(rows, uid, values, own, f"_part{k}")
+        parts.append(_scaled(f"_part{k}", weight))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = F.zip_with(whole, part, lambda a, b: a + b)
+    found = pinned(rows.withColumn("returns", reverse_scan(F.zip_with(whole, F.col(mask), lambda x, m: x * m))).drop(*[f"_part{k}" for k in range(len(sources))]))
+    return whiten_arrays(found.withColumn("advantage", F.col("returns")), "advantage", mask)
+
+
+def _scaled(values: str, weight: float) -> Column:
+    return F.transform(values, lambda x: x * weight)
+
+
 def batch_norm(rows: DataFrame, values: str) -> DataFrame:
     """Divide by the batch's largest absolute reverse running sum."""
     sums = F.array_max(F.transform(reverse_scan(F.col(values)), F.abs))
@@ -69,11 +112,13 @@ def prime_rloo(rows: DataFrame, uid: str, values: str, mask: str, out: str = "ce
 
 
 def resampling_weights(score: Column, kind: str, power: float = 2.0, low: Column | None = None, high: Column | None = None) -> Column:
-    """Weights for drawing rows anew: a power of the score's size, or 1 at the extremes ``low`` and ``high``."""
+    """Weights for drawing rows anew: a power of the score's size, 1 at the extremes ``low`` and ``high``, or 0.4 at ``high`` and 0.1 below."""
     if kind == "pow":
         weight = F.pow(F.abs(score), F.lit(power))
     elif kind == "max_min":
         weight = F.when((score == high) | (score == low), 1.0).otherwise(0.0)
+    elif kind == "max_random":
+        weight = F.when(score == high, 0.4).otherwise(0.1)
     else:
         raise ValueError(kind)
     return F.greatest(weight + 1e-8, F.lit(1e-8))

@@ -170,6 +170,12 @@ def topk_entropy(logps: Column, eps: float = 1e-12) -> Column:
     return F.when(F.size(logps) == 0, F.lit(float("nan"))).otherwise(some)
 
 
+def mean_step_entropy(steps: Column) -> Column:
+    """The mean over a text's steps of :func:`topk_entropy`, without steps that list nothing; NaN if none does."""
+    found = F.transform(F.filter(steps, lambda s: F.coalesce(F.size(s), F.lit(0)) > 0), lambda s: topk_entropy(s))
+    return F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, F.lit(float("nan"))).otherwise(total(found) / F.size(found))
+
+
 def mask_to_eos(ids: Column, eos: Column | list[int]) -> Column:
     """1 up to and including the first end token, of which there may be several kinds."""
     ends = F.array(*map(F.lit, eos)) if isinstance(eos, list) else F.array(eos)
@@ -191,7 +197,7 @@ def pad_left(ids: Column, width: int, fill: Column) -> Column:
 
 
 def truncate(ids: Column, most: int, side: str) -> Column:
-    """Cut to ``most`` tokens from the left, the right or the middle."""
+    """Cut to ``most`` tokens from the left, the right or the middle, or fail."""
     if side == "left":
         cut = F.slice(ids, F.lit(-most), F.lit(most))
     elif side == "right":
@@ -199,6 +205,8 @@ def truncate(ids: Column, most: int, side: str) -> Column:
     elif side == "middle":
         head = most // 2
         cut = F.concat(F.slice(ids, F.lit(1), F.lit(head)), F.slice(ids, F.lit(head - most), F.lit(most - head)))
+    elif side == "error":
+        cut = F.raise_error(F.lit(f"more than {most} tokens")).cast("array<int>")
     else:
         raise ValueError(side)
     return F.when(F.size(ids) > most, cut).otherwise(ids)

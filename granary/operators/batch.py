@@ -84,6 +84,9 @@ def union(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def concat(parts: list[DataFrame]) -> DataFrame:
     """One batch after another, with the first one's columns."""
+    for part in parts[1:]:
+        if set(part.columns) != set(parts[0].columns):
+            raise KeyError(sorted(set(part.columns) ^ set(parts[0].columns)))
     out, offset = parts[0], 0
     for before, part in zip(parts, parts[1:], strict=False):
         offset += before.count()
@@ -91,9 +94,11 @@ def concat(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def chunk(batch: DataFrame, chunks: int) -> DataFrame:
-    """Add ``chunk_id``: runs of ceil(n / chunks) rows."""
+def chunk(batch: DataFrame, chunks: int, even: bool = False) -> DataFrame:
+    """Add ``chunk_id``: runs of ceil(n / chunks) rows; with ``even`` the chunks must be equally large."""
     n = batch.count()
+    if even and n % chunks:
+        raise ValueError("the number of chunks must divide the batch")
     return batch.withColumn("chunk_id", F.floor(F.col("row_id") / max(1, -(-n // chunks))).cast("int"))
 
 
@@ -149,10 +154,15 @@ def pad_with(batch: DataFrame, size: int, first: bool = False) -> DataFrame:
     return batch.unionByName(copies.withColumn("row_id", F.lit(n) + F.col("_k")).drop("_k"))
 
 
-def minibatches(batch: DataFrame, size: int, epochs: int = 1) -> DataFrame:
-    """Add ``epoch`` and ``batch_id``; the size must divide the batch."""
+def minibatches(batch: DataFrame, size: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
+    """Add ``epoch`` and ``batch_id``; the size must divide the batch. A seed deals the rows anew in every epoch."""
     if batch.count() % size:
         raise ValueError("the mini-batch size must divide the batch")
+    if seed is not None:
+        drawn = batch.withColumnRenamed("row_id", "_row").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+        drawn = with_row_id(drawn.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "_row"))), "epoch", "_draw", "_row")
+        placed = F.floor(F.col("row_id") / size) % F.lit(max(1, batch.count() // size))
+        return drawn.withColumn("batch_id", placed.cast("int")).drop("row_id", "_draw").withColumnRenamed("_row", "row_id")
     return batch.withColumns({"epoch": F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))), "batch_id": F.floor(F.col("row_id") / size).cast("int")})
 
 

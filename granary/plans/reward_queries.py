@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from granary.functions import math_text as M
 from granary.functions import preference as P
 from granary.functions import sequences as S
-from granary.functions.tokens import total
 from granary.functions.scans import reverse_scan
+from granary.functions.tokens import scatter_last, total
 from granary.operators.scoring import Scorers, apply
 from granary.plans.catalog import ROLLOUTS, TOKENS, query, r6, rollouts, table, tokens
+from granary.plans.group_queries import WHITE, exploded
 
 C = F.col
 WITH = f"WITH {TOKENS} "
@@ -68,6 +69,30 @@ def adv_prime_rloo(spark, sf_dir):
     return made.select("vec_id", r6(total(C("centred")), "whole"), r6(total(C("returns")), "returns"))
 
 
+@query(f"""WITH {TOKENS}, e AS (SELECT vec_id, vec_id // 4 AS uid, label, i, r[i] AS r, m[i] AS m, (i = CASE WHEN label > 0 THEN label ELSE 16 END)::INT AS p FROM tokens, range(1, 17) t(i)),
+    own AS (SELECT uid, vec_id, any_value(label % 2)::DOUBLE AS acc, sum(r * m) / greatest(sum(m), 1) AS mean FROM e GROUP BY uid, vec_id), c AS (SELECT uid, count(*) AS n, sum(mean) AS s1, sum(acc) AS s2 FROM own GROUP BY uid),
+    k AS (SELECT uid, CASE WHEN n > 1 THEN n / (n - 1) ELSE 1 END AS k, CASE WHEN n > 1 THEN s1 / (n - 1) ELSE 0 END AS b1, CASE WHEN n > 1 THEN s2 / (n - 1) ELSE 0 END AS b2 FROM c),
+    x AS (SELECT vec_id, i, m, m * (5 * (r * k - b1) * m + 2 * (label % 2 * k - b2) * p) AS y FROM e JOIN k USING (uid)),
+    g AS (SELECT vec_id, i, m, sum(y) OVER (PARTITION BY vec_id ORDER BY i DESC) AS x FROM x), {WHITE}
+    SELECT vec_id, i::INT - 1 AS pos, round((x - mu) / sqrt(var + 1e-8), 6) + 0.0 AS advantage, round(x, 6) + 0.0 AS returns FROM g, w""")
+def prime_advantages(spark, sf_dir):
+    """Process rewards and, at the last valid place, correctness."""
+    place = scatter_last(F.lit(1.0), 16, C("label"))
+    rows = tokens(spark, sf_dir).withColumn("uid", F.floor(C("vec_id") / 4)).withColumn("p", place).withColumn("acc", F.transform("p", lambda x: x * (C("label") % 2)))
+    return exploded(P.prime_advantages(rows, "uid", [("r", "m", 5.0), ("acc", "p", 2.0)], "m"))
+
+
+@query(f"""WITH {TOKENS}, t AS (SELECT label % 2 AS acc, list_sum(list_transform(range(1, 17), lambda i: r[i] * m[i])) AS q, v[1:4] AS qs, list_transform(o[1:4], lambda x: (x > 0)::INT) AS accs FROM tokens),
+    e AS (SELECT *, list_transform(list_filter(range(1, 5), lambda i: CASE WHEN acc > 0 THEN accs[i] < acc ELSE accs[i] > acc END), lambda i: qs[i]) AS against FROM t),
+    l AS (SELECT *, ln(1 + exp(-(0.5 * q - CASE WHEN len(against) > 0 THEN 0.5 * list_avg(against) ELSE 0 END) * (CASE WHEN acc > 0 THEN 1 ELSE -1 END))) AS loss FROM e)
+    SELECT round(avg(loss), 6) AS plain, round(sum(loss * 4 * pow(len(list_filter(qs, lambda x: x * 0.5 <= q * 0.5)) / 4, 3)), 6) AS by_score, round(sum(loss * 4 * pow(len(list_filter(accs, lambda x: x <= acc)) / 4, 3)), 6) AS by_truth FROM l""")
+def detached_dpo_loss(spark, sf_dir):
+    accs = F.transform(F.slice("o", 1, 4), lambda x: (x > 0).cast("int"))
+    loss = lambda mode: P.detached_dpo(total(F.zip_with("r", "m", lambda r, m: r * m)), C("label") % 2, F.slice("v", 1, 4), accs, 0.5, mode)
+    rows = tokens(spark, sf_dir).select(loss("none").alias("a"), loss("bon_rm").alias("b"), loss("bon_acc").alias("c"))
+    return rows.agg(r6(F.avg("a"), "plain"), r6(F.sum("b"), "by_score"), r6(F.sum("c"), "by_truth"))
+
+
 @query(f"WITH {ROLLOUTS} SELECT uid, sample_id, round(greatest(score * score + 1e-8, 1e-8), 6) AS power, round(CASE WHEN score = (SELECT max(score) FROM rollouts) OR score = (SELECT min(score) FROM rollouts) THEN 1 ELSE 0 END + 1e-8, 6) AS extremes FROM rollouts")
 def pf_ppo_weights(spark, sf_dir):
     rows = rollouts(spark, sf_dir)

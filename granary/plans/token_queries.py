@@ -55,6 +55,12 @@ add(
     lambda: T.topk_entropy(F.transform(F.slice("r", 1, 5), lambda x: x - 3)),
     "-list_sum(list_transform(r[1:5], lambda x: exp(x - 3) * ln(exp(x - 3) + 1e-12))) - greatest(0, 1 - list_sum(list_transform(r[1:5], lambda x: exp(x - 3)))) * ln(greatest(0, 1 - list_sum(list_transform(r[1:5], lambda x: exp(x - 3)))) + 1e-12)",
 )
+ROW = "-list_sum(list_transform({x}, lambda x: exp(x - 3) * ln(exp(x - 3) + 1e-12))) - greatest(0, 1 - list_sum(list_transform({x}, lambda x: exp(x - 3)))) * ln(greatest(0, 1 - list_sum(list_transform({x}, lambda x: exp(x - 3)))) + 1e-12)"
+add(
+    "step_entropy",
+    lambda: T.mean_step_entropy(F.transform(F.array(F.slice("r", 1, 4), F.array().cast("array<double>"), F.slice("v", 1, 8)), lambda s: F.transform(s, lambda x: x - 3))),
+    f"(({ROW.format(x='r[1:4]')}) + ({ROW.format(x='v[1:8]')})) / 2",
+)
 add("overlong_penalty", lambda: T.overlong_penalty(C("label").cast("double"), 8, 4, 0.5), "least(-(label::DOUBLE - 4) / 4.0 * 0.5, 0.0) + 0.0::DOUBLE")
 add("l2_norm_check", lambda: retrieval.dot(retrieval.normalise(C("r")), retrieval.normalise(C("v"))), f"{summed('r[i] * v[i]')} / sqrt({summed('r[i] * r[i]')}) / sqrt({summed('v[i] * v[i]')})")
 

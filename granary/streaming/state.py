@@ -38,8 +38,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def accumulate(batches: DataFrame, prompts: str, size: int, order: str) -> DataFrame:
-    """Add ``running`` and ``full``: the first arrival with which the running number of prompts reaches ``size``."""
+def accumulate(batches: DataFrame, prompts: str, size: int, order: str, most: int = 0) -> DataFrame:
+    """Add ``running`` and ``full``: the first arrival with which the running number of prompts reaches ``size``.
+
+    It is an error if ``most`` batches (0: any number) have come and it hasn't.
+    """
     run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = batches.withColumn("running", F.sum(prompts).over(run))
+    running = F.sum(prompts).over(run)
+    if most:
+        running = F.when((F.count(F.lit(1)).over(run) >= most) & (running < size), F.raise_error(F.lit(f"{most} batches hold too few prompts")).cast("long")).otherwise(running)
+    counted = batches.withColumn("running", running)
     return counted.withColumn("full", (F.col("running") >= size) & (F.col("running") - F.col(prompts) < size))

@@ -251,3 +251,26 @@ def test_partitions_against_brute_force():
         small = balance.micro_batches(lengths, 60)
         assert sorted(i for p in small for i in p) == list(range(len(lengths)))
     assert balance.least_loaded([3, 3, 3, 1], 2) == [[0, 2], [1, 3]]  # ties go to the partition of the smaller number
+
+
+def test_batches_that_do_not_fit_are_errors(spark):
+    from granary.functions import tokens
+    from granary.operators import batch
+    from granary.streaming.state import accumulate
+
+    rows = spark.range(12).withColumnRenamed("id", "row_id")
+    for wrong in (lambda: batch.concat([rows, rows.withColumn("more", F.lit(1))]), lambda: batch.chunk(rows, 5, even=True)):
+        with pytest.raises((KeyError, ValueError)):
+            wrong()
+    with pytest.raises(Exception, match="more than 2 tokens"):
+        spark.range(1).select(tokens.truncate(F.array(F.lit(1), F.lit(2), F.lit(3)), 2, "error")).collect()
+    dealt = batch.minibatches(rows, 4, epochs=2, seed=3).collect()
+    for epoch in range(2):
+        assert sorted(r.row_id for r in dealt if r.epoch == epoch) == list(range(12))
+        assert sorted(r.batch_id for r in dealt if r.epoch == epoch) == [0] * 4 + [1] * 4 + [2] * 4
+    orders = [[r.row_id for r in sorted(dealt, key=lambda r: (r.batch_id, r.row_id)) if r.epoch == e] for e in range(2)]
+    assert orders[0] != orders[1] and sorted(map(tuple, dealt)) == sorted(map(tuple, batch.minibatches(rows.repartition(5), 4, epochs=2, seed=3).collect()))
+    arrivals = spark.createDataFrame([(k, 10) for k in range(5)], "k int, n int")
+    assert [r.full for r in accumulate(arrivals, "n", 30, "k", 4).orderBy("k").collect()] == [False, False, True, False, False]
+    with pytest.raises(Exception, match="too few prompts"):
+        accumulate(arrivals, "n", 100, "k", 4).collect()
