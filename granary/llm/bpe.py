@@ -35,6 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEXICON_WORDS = 1 << 19
 LONGEST_LEXICON_PIECE = 64
 MEMO = 400_000
+BLOCK = 1 << 16  # ids decoded at a time
 SHIFT, LOW, NEVER = 20, (1 << 20) - 1, 1 << 60
 _GAP = re.compile(r"(?<=\S) ")  # a word can't reach back over a space that follows a visible character
 _WHITE = re.compile(r"\s ")
@@ -67,6 +68,10 @@ class Vocabulary:
             self.bytes_of[i] = token
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        # All tokens' bytes in one array, and where each token's begin and how many they are.
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.every = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
 
 def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
@@ -141,7 +146,8 @@ class Codec:
 
     def _pieces(self, piece: str) -> bytes:
         out: list[int] = []
-        for word in self.find(piece):
+        body = piece[1:] if piece[:1] == " " else piece
+        for word in (piece,) if body.isascii() and body.isalpha() else self.find(piece):  # letters behind one space are one word
             raw = word.encode()
             out += self.lexicon.get(raw) or merge_word(raw, self.vocabulary)
         return _PACK[len(out)](*out) if len(out) < 32 else np.array(out, "<u4").tobytes()
@@ -162,10 +168,21 @@ class Codec:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.vocabulary.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(self.vocabulary.starts[ids] - ends + sizes, sizes)
+        return self.vocabulary.every[places].tobytes()
+
     def decode(self, packed: bytes) -> bytes:
         """The text of packed ids in UTF-8; invalid sequences become U+FFFD."""
-        raw = b"".join(map(self.vocabulary.bytes_of.__getitem__, memoryview(packed).cast("I")))
-        return raw.decode("utf-8", "replace").encode()
+        ids = np.frombuffer(packed, "<u4")
+        raw = b"".join(self._bytes(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK))
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode()
+        return raw
 
 
 def codec(path: str, image: bytes) -> Codec:
