@@ -20,8 +20,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalise(vector: Column) -> Column:
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: x / norm)
+    """At length 1; a vector of zeros stays one. The norm is an array's only element, so that it is computed once a row."""
+    norms = F.array(F.sqrt(dot(vector, vector)))
+    return F.transform(norms, lambda norm: F.transform(vector, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm)))[0]
 
 
 def mean_pool(vectors: DataFrame, group: str, vector: str, size: int) -> DataFrame:

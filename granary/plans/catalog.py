@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.session import table
@@ -79,3 +79,9 @@ CUSTOMERS = "batch AS (SELECT c_custkey AS row_id, c_acctbal AS obs, c_mktsegmen
 def r6(column, name: str):
     """Rounded for comparison: sums of doubles depend on their order in the last places."""
     return F.round(column, 6).alias(name)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """As ``round`` in the statements: halves of the scaled double go away from zero, and a zero keeps the sign of what it was."""
+    scaled = x * 10.0**places
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(F.signum(scaled) * F.abs(F.round(scaled)) / 10.0**places)

@@ -274,3 +274,29 @@ def test_batches_that_do_not_fit_are_errors(spark):
     assert [r.full for r in accumulate(arrivals, "n", 30, "k", 4).orderBy("k").collect()] == [False, False, True, False, False]
     with pytest.raises(Exception, match="too few prompts"):
         accumulate(arrivals, "n", 100, "k", 4).collect()
+
+
+def odd_embeddings(spark, folder, rows):
+    """Vectors that begin with the given numbers and end in ones, as a table; None stays None."""
+    full = [(k, None if v is None else [*v, *[1.0] * (64 - len(v))], label) for k, (v, label) in enumerate(rows)]
+    spark.createDataFrame(full, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+
+
+def equals_statement(spark, folder, name, source):
+    """Query and statement by their rows' texts, which tell -0.0 from 0.0 and take NaN for equal."""
+    import duckdb
+
+    from granary.plans.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {source} AS SELECT * FROM '{folder}/{source}.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(folder))
+    found = con.execute(ORACLES[name])
+    assert got.columns == [c[0] for c in found.description]
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, found.fetchall()))
+
+
+def test_unit_vectors_keeps_signs_of_zero_and_zero_vectors(spark, tmp_path):
+    odd = [-1e-9, 1e-9, -0.0, 0.0, -4e-6, 4e-6, -0.0625]
+    odd_embeddings(spark, tmp_path, [(odd, 3), ([0.0] * 64, 1), ([-0.0] * 64, 1), (None, 2), ([math.nan], 2), ([-math.inf, 2.0], 2), ([1e30, -1e30], None)])
+    equals_statement(spark, tmp_path, "unit_vectors", "embeddings")
