@@ -312,3 +312,11 @@ def test_select_tokens_keeps_signs_of_zero_and_missing_tokens(spark, tmp_path):
     odd = [-1e-9, 1e-9, -0.0, 0.0, -4e-6, None, math.nan, -math.inf]
     odd_embeddings(spark, tmp_path, [(odd, label) for label in (-1, 0, 1, 8, 16, 18, None)] + [(None, 2), (None, 0), (None, None)])
     equals_statement(spark, tmp_path, "select_tokens", "embeddings")
+
+
+def test_log_parse_of_halves_nulls_and_signs_of_zero(spark, tmp_path):
+    """515.7185 lies so that 1,000 times it falls below the half, unlike its decimal digits."""
+    odd = [515.7185, 4.0295, 1.0005, -0.0004, -0.0, 1e20 / 7, 1.7e308, math.nan, math.inf, -math.inf, None]
+    rows = [*((3 * k + 1, v) for k, v in enumerate(odd)), (0, None), (3, 1.0), (-3, 1.0), (None, 2.5), (None, None)]
+    spark.createDataFrame(rows, "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    equals_statement(spark, tmp_path, "log_parse", "events")
